@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.node_stats import valid_measure
 from ..plans import lookup_join
 from ..sources import read_table, records
+from .quantiles import merge_summaries, percentiles, summarize
 from .runs import collapse_runs
 from .top_n import top_n_per_group
 
@@ -17,6 +18,43 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "codebook", "map_id", F.col("r").alias("x"), F.col("c").alias("y"))
 
 
+#: Permitted rank error of p1, as a share of a group's values.
+P1_EPS = 0.0002
+P1_QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+P1_KEYS = ["measure", *NODE, "day"]
+
+
+def _p1_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level-one summaries of all groupings in one pass: `dist` of every node and of every
+    day, `x` and `y` of every map. Unused keys of a grouping are null."""
+    nodes = _nodes(spark, sf_dir).withColumn("on_node", F.lit(True))
+    rows = lookup_join(records(spark, sf_dir, *NODE, "dist", "ts"), nodes, NODE, "left", salt_by="id")
+    none = F.lit(None)
+
+    def entry(measure, value, map_id=none, x=none, y=none, day=none):
+        return F.struct(F.lit(measure).alias("measure"), map_id.cast("bigint").alias("map_id"), x.cast("int").alias("x"),
+                        y.cast("int").alias("y"), day.cast("date").alias("day"), value.cast("double").alias("value"))
+
+    m, x, y, on = F.col("map_id"), F.col("x"), F.col("y"), F.col("on_node")
+    dist = valid_measure("dist")
+    entries = F.array(
+        entry("node_dist", F.when(on, dist), m, x, y), entry("day_dist", dist, day=F.to_date("ts")),
+        entry("map_x", F.when(on, x), m), entry("map_y", F.when(on, y), m))
+    return summarize(rows.select(F.inline(F.filter(entries, lambda e: e["value"].isNotNull()))), P1_KEYS, "value", P1_EPS)
+
+
+def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles(merge_summaries(_p1_summaries(spark, sf_dir), P1_KEYS, P1_EPS), P1_QUANTILES)
+
+
+def p1_months_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished summaries of separate days combined into those of months."""
+    rows = records(spark, sf_dir, "dist", "ts").select(F.to_date("ts").alias("day"), valid_measure("dist").alias("dist"))
+    days = merge_summaries(summarize(rows, ["day"], "dist", P1_EPS), ["day"], P1_EPS)
+    months = merge_summaries(days.withColumn("month", F.trunc("day", "month")), ["month"], P1_EPS)
+    return percentiles(months, P1_QUANTILES)
+
+
 def _beside(before, now):
     """Both on nodes, at most one row and one column apart."""
     return (
@@ -56,4 +94,4 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_stays, p4_found, p4_ranked)}
+    return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked)}
