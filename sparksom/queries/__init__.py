@@ -1,0 +1,18 @@
+"""The query catalogue: every operator as a named query, with SQL where SQL can say it."""
+from __future__ import annotations
+
+from . import pipeline
+
+_MODULES = (pipeline,)
+
+
+def core_queries() -> dict:
+    return {name: q for m in _MODULES for name, q in m.queries().items()}
+
+
+def core_oracle_sql() -> dict[str, str]:
+    return {name: q for m in _MODULES for name, q in m.oracle_sql().items()}
+
+
+def flagship(spark, sf_dir):
+    return pipeline.p3_node_stats(spark, sf_dir)
