@@ -95,3 +95,9 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracle import SQL
+
+    return dict(SQL)
