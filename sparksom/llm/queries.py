@@ -1,13 +1,18 @@
 """Queries of the training-data operators."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.node_stats import valid_measure
-from ..plans import lookup_join
+from ..plans import lookup_join, materialize
 from ..sources import read_table, records
+from .lookalikes import lookalike_pairs, skeleton_column
+from .packing import pack
 from .quantiles import merge_summaries, percentiles, summarize
 from .runs import collapse_runs
+from .tokenizer import encode_column, token_counts
 from .top_n import top_n_per_group
 
 NODE = ["map_id", "x", "y"]
@@ -93,8 +98,51 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).select(*NODE, F.col("rank").cast("int").alias("rank"), "id", "dist")
 
 
+#: The public vocabulary's ranks; set SPARKSOM_VOCABULARY where it lies elsewhere.
+VOCABULARY = os.environ.get("SPARKSOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+CAPACITY = 4096
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_column(read_table(spark, sf_dir, "documents", "doc_id", "text"), "text", VOCABULARY)
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Containers of all documents, and their sizes (tokenized once, kept as a narrow table)."""
+    documents = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    sizes = materialize(token_counts(documents, ["doc_id"], "text", VOCABULARY), "token-counts")
+    return pack(sizes, "doc_id", "n_tokens", CAPACITY), sizes
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the packing had to split: those with a second part."""
+    return _containers(spark, sf_dir)[0].where("part = 1").select("doc_id")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir)[0]
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers are used, and the least number any packing needs."""
+    return _containers(spark, sf_dir)[0].where("part_size > 0").agg(
+        F.countDistinct("container_id").alias("n_containers"), F.sum("part_size").alias("n_tokens"),
+        F.ceil(F.sum("part_size") / F.lit(CAPACITY)).alias("n_least"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike_pairs(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in its one consistent form."""
+    return skeleton_column(read_table(spark, sf_dir, "documents", "doc_id", "text"), "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked)}
+    return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked,
+        p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_skeletons)}
 
 
 def oracle_sql() -> dict[str, str]:
