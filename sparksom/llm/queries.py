@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.node_stats import valid_measure
 from ..plans import lookup_join, materialize
 from ..sources import read_table, records
+from .clusters import SimilarityClusters
 from .lookalikes import lookalike_pairs, skeleton_column
 from .packing import pack
 from .quantiles import merge_summaries, percentiles, summarize
@@ -98,6 +99,24 @@ def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).select(*NODE, F.col("rank").cast("int").alias("rank"), "id", "dist")
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> SimilarityClusters:
+    return SimilarityClusters(read_table(spark, sf_dir, "classification_map", "id", "data"), "id", "data")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).pairs().select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical records of every cluster of at least two."""
+    return _clusters(spark, sf_dir).describe().withColumnRenamed("cluster", "cluster_id")
+
+
+def p5_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every record that has company (all others are clusters of their own)."""
+    return _clusters(spark, sf_dir).membership().withColumnRenamed("cluster", "cluster_id")
+
+
 #: The public vocabulary's ranks; set SPARKSOM_VOCABULARY where it lies elsewhere.
 VOCABULARY = os.environ.get("SPARKSOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CAPACITY = 4096
@@ -142,6 +161,7 @@ def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked,
+        p5_found, p5_clusters, p5_membership,
         p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_skeletons)}
 
 
