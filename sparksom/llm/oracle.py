@@ -17,7 +17,7 @@ runs AS (SELECT seq_id, arg_min(id, (ord, id)) AS first_id, arg_max(id, (ord, id
 _TOP = f"""WITH {_RECORDS},
 best AS (SELECT rec.map_id, rec.x, rec.y, id, dist, row_number() OVER (PARTITION BY rec.map_id, rec.x, rec.y ORDER BY dist DESC, id) AS rank
   FROM rec JOIN codebook c ON rec.map_id = c.map_id AND rec.x = c.r AND rec.y = c.c
-  WHERE dist >= 0 AND dist < 'infinity'::double)"""
+  WHERE dist >= 0 AND isfinite(dist))"""
 
 SQL = {
     "p2_found": f"{_RUNS} SELECT seq_id, first_id, last_id FROM runs",
