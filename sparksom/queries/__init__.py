@@ -1,9 +1,9 @@
 """The query catalogue: every operator as a named query, with SQL where SQL can say it."""
 from __future__ import annotations
 
-from . import pipeline
+from . import maps, pipeline, series, training
 
-_MODULES = (pipeline,)
+_MODULES = (maps, series, training, pipeline)
 
 
 def core_queries() -> dict:
@@ -15,4 +15,5 @@ def core_oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return pipeline.p3_node_stats(spark, sf_dir)
+    """Best-matching units of all records on their own maps, and the quality of each map."""
+    return maps.map_quality(spark, sf_dir)

@@ -50,7 +50,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_node_stats": f"""
             WITH rec AS ({_RECORDS}),
             st AS (SELECT map_id, x, y, count(*) AS n, count(v) AS nv, sum(v) AS s, min(ts) AS t0, max(ts) AS t1
-                   FROM (SELECT *, CASE WHEN dist >= 0 AND dist < 'infinity'::double THEN dist END AS v FROM rec)
+                   FROM (SELECT *, CASE WHEN dist >= 0 AND isfinite(dist) THEN dist END AS v FROM rec)
                    GROUP BY map_id, x, y)
             SELECT coalesce(st.map_id, c.map_id) AS map_id, coalesce(st.x, c.r) AS x, coalesce(st.y, c.c) AS y,
                    c.nid IS NOT NULL AS is_node, coalesce(n, 0)::bigint AS n_records, coalesce(nv, 0)::bigint AS n_valid,

@@ -1,4 +1,5 @@
 """Sources and sinks."""
+from .index_files import read_index
 from .tables import read_table, records
 
-__all__ = ["read_table", "records"]
+__all__ = ["read_index", "read_table", "records"]
