@@ -115,10 +115,9 @@ def skeleton_column(df: DataFrame, text: str, out: str = "skeleton") -> DataFram
     """``df`` with the consistent form of ``text`` in its place, as column ``out``.
 
     Null stays null, empty stays empty. Whole texts, nothing shuffled, one Arrow pass.
+    Another column already named ``out`` is replaced; all others pass through.
     """
-    if out in df.columns and out != text:
-        raise ValueError(f"column {out} exists")
-    names = [c for c in df.columns if c != text]
+    names = [c for c in df.columns if c not in (text, out)]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -326,11 +326,10 @@ def encode_column(df: DataFrame, text: str, vocabulary: str, out: str = "ids") -
 
     No special tokens: their strings in a text are ordinary text. A null text gives null,
     an empty text an empty list. Texts are encoded whole, whatever their length. The
-    other columns pass through (``out`` must not be one of them); nothing is shuffled.
+    other columns pass through, but for one already named ``out``, which is replaced;
+    repeated rows stay, an empty table stays empty; nothing is shuffled.
     """
-    if out in df.columns:
-        raise ValueError(f"column {out} exists")
-    names = [c for c in df.columns if c != text]
+    names = [c for c in df.columns if c not in (text, out)]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

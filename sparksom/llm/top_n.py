@@ -33,16 +33,17 @@ def top_n_per_group(
     for column in [*groups, item]:
         usable = usable & F.col(column).isNotNull()
     best_first = [F.col("__score").desc(), F.col("__item").asc()]
+    keys = [f"__g{i}" for i in range(len(groups))]  # so that no name of the caller's is in the way
     rows = df.where(usable).select(
-        *groups,
+        *[F.col(g).alias(k) for g, k in zip(groups, keys)],
         F.col(item).alias("__item"),
         F.col(score).alias("__score"),
         F.pmod(F.xxhash64(item), F.lit(salts)).cast("int").alias("__salt"),
     )
-    within = Window.partitionBy(*groups, "__salt").orderBy(*best_first)
-    across = Window.partitionBy(*groups).orderBy(*best_first)
+    within = Window.partitionBy(*keys, "__salt").orderBy(*best_first)
+    across = Window.partitionBy(*keys).orderBy(*best_first)
     survivors = rows.withColumn("__r", F.dense_rank().over(within)).where(F.col("__r") <= n)
     ranked = survivors.drop("__r", "__salt").withColumn("rank", F.dense_rank().over(across)).where(F.col("rank") <= n)
-    return ranked.dropDuplicates([*groups, "__item"]).select(
-        *groups, F.col("__item").alias(item), F.col("__score").alias(score), "rank"
+    return ranked.dropDuplicates([*keys, "__item"]).select(
+        *[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("__item").alias(item), F.col("__score").alias(score), "rank"
     )
