@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.distances import _euclidean
+from ..plans import materialize
 
 
 def far_apart() -> Column:
@@ -42,11 +43,15 @@ def error_maps(scored: DataFrame, nodes: DataFrame, by: list[str] = []) -> DataF
 
 def quantization_error(scored: DataFrame, by: list[str] = []) -> DataFrame:
     """Number of samples and activated nodes, mean distance, and the sum of the rounded
-    per-node distance sums over the number of samples."""
-    per = scored.groupBy(*by, "nid").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("s"))
+    per-node distance sums over the number of samples; where the second-best nodes are
+    known, the topological error from the same pass."""
+    both = {"r", "c", "r2", "c2"} <= set(scored.columns)
+    misses = F.sum(far_apart() if both else F.lit(0)).alias("misses")
+    per = scored.groupBy(*by, "nid").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("s"), misses)
+    extra = [(F.sum("misses").cast("double") / F.sum("n")).alias("topological_error")] if both else []
     return per.groupBy(*by).agg(
         F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("num_activations"),
-        (F.sum("s") / F.sum("n")).alias("mean_distance"), (F.sum(_five(F.col("s"))) / F.sum("n")).alias("quantization_error"))
+        (F.sum("s") / F.sum("n")).alias("mean_distance"), (F.sum(_five(F.col("s"))) / F.sum("n")).alias("quantization_error"), *extra)
 
 
 def topological_error(scored: DataFrame, by: list[str] = []) -> DataFrame:
@@ -67,12 +72,13 @@ def distortion(samples: DataFrame, features: str, codebook: DataFrame, sigma: Da
     nodes with nodes of the same map. ``samples`` has ``by, nid, features``; ``codebook``
     ``by, nid, r, c, w``; ``sigma`` ``by, sigma`` (at least 1 is used).
     """
+    dims = codebook.select(F.size("w")).first()
     sums = samples.groupBy(*by, "nid").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.aggregate(features, F.lit(0.0), lambda s, v: s + v * v)).alias("q"))
-    parts = samples.select(*by, "nid", F.posexplode(features).alias("i", "v")).groupBy(*by, "nid", "i").agg(F.sum("v").alias("v"))
-    vectors = parts.groupBy(*by, "nid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda t: t["v"]).alias("s"))
-    hit = codebook.select(*by, "nid", F.col("r").alias("br"), F.col("c").alias("bc")).join(sums, [*by, "nid"]).join(vectors, [*by, "nid"]).drop("nid")
+        F.count(F.lit(1)).alias("n"), F.sum(F.aggregate(features, F.lit(0.0), lambda s, v: s + v * v)).alias("q"),
+        *[F.sum(F.get(features, F.lit(i))).alias(f"s{i}") for i in range(dims[0] if dims else 0)])
+    sums = sums.select(*by, "nid", "n", "q", F.array(*[c for c in sums.columns if c[0] == "s" and c[1:].isdigit()]).alias("s"))
+    sums = materialize(sums, "node-sums")
+    hit = codebook.select(*by, "nid", F.col("r").alias("br"), F.col("c").alias("bc")).join(sums, [*by, "nid"]).drop("nid")
     g2 = (F.col("r") - F.col("br")) * (F.col("r") - F.col("br")) + (F.col("c") - F.col("bc")) * (F.col("c") - F.col("bc"))
     width = F.greatest(F.col("sigma"), F.lit(1.0))
     dot = F.aggregate(F.zip_with("w", "s", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -133,7 +139,7 @@ def nmi(scored: DataFrame, label: str, by: list[str] = []) -> DataFrame:
     """Normalised mutual information of node and label (arithmetic mean of the entropies;
     1 where both are constant). From the contingency table: one row per node and label.
     Samples without a label must be left out by the caller."""
-    table = scored.groupBy(*by, "nid", label).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    table = materialize(scored.groupBy(*by, "nid", label).agg(F.count(F.lit(1)).cast("double").alias("n")), "contingency")
     rows = table.groupBy(*by, "nid").agg(F.sum("n").alias("a"))
     cols = table.groupBy(*by, label).agg(F.sum("n").alias("b"))
     names = by or ["__one"]

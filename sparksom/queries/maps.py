@@ -34,8 +34,7 @@ def error_maps(spark, sf_dir):
 
 def map_quality(spark, sf_dir):
     """Quantization error, mean distance and activated nodes, with the topological error."""
-    s = base.scored(spark, sf_dir)
-    both = quality.quantization_error(s, MAP).join(quality.topological_error(s, MAP), "map_id")
+    both = quality.quantization_error(base.scored(spark, sf_dir), MAP)
     return both.select("map_id", "n_samples", "num_activations", F.round("mean_distance", 5).alias("mean_distance"),
                        F.round("quantization_error", 5).alias("quantization_error"), F.round("topological_error", 6).alias("topological_error"))
 
