@@ -59,7 +59,7 @@ SQL_RECORDS = """rec AS (SELECT id, any_value(map_id) AS map_id, any_value(seq_i
   any_value(data) AS data, any_value(x) AS x, any_value(y) AS y, any_value(dist) AS dist, any_value(ts) AS ts
   FROM classification_map WHERE id IS NOT NULL GROUP BY id)"""
 SQL_SAMPLES = SQL_RECORDS + """,
-samp AS (SELECT * FROM rec WHERE len(data) = 16 AND len(list_filter(data, lambda v: v IS NOT NULL AND isfinite(v))) = 16)"""
+samp AS (SELECT * REPLACE (list_transform(data, lambda v: coalesce(v, 0.0)) AS data) FROM rec WHERE len(data) = 16 AND len(list_filter(data, lambda v: v IS NOT NULL AND isfinite(v))) = 16)"""
 SQL_WEIGHED = SQL_SAMPLES + """,
 weighed AS (SELECT samp.*, c.nid, c.w FROM samp JOIN codebook c ON samp.map_id = c.map_id AND samp.x = c.r AND samp.y = c.c)"""
 SQL_PLACED = SQL_RECORDS + """,

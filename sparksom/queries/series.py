@@ -157,7 +157,7 @@ pts AS (SELECT window_id, n, i, x[i] AS v FROM good, range(1, 4097) t(i) WHERE i
 _PSD = _WINDOWS + f""",
 dft AS (SELECT p.window_id, p.n, k, sum(v * cos(2 * pi() * k * (i - 1) / p.n)) AS re, sum(v * sin(2 * pi() * k * (i - 1) / p.n)) AS im
   FROM pts p, range(0, 2049) t(k) WHERE k <= p.n // 2 GROUP BY p.window_id, p.n, k),
-psd AS (SELECT window_id, n, k, k * {RATE} / n AS f, (re * re + im * im) / n AS p FROM dft),
+psd AS (SELECT window_id, n, k, k * (1.0::double / (n * (1.0::double / {RATE}::double))) AS f, (re * re + im * im) / n AS p FROM dft),
 trap AS (SELECT window_id, k, f, p, lead(f) OVER w AS f2, lead(p) OVER w AS p2, sum(p) OVER (PARTITION BY window_id ORDER BY k) AS cum,
   sum(p) OVER (PARTITION BY window_id) AS total FROM psd WINDOW w AS (PARTITION BY window_id ORDER BY k))"""
 
