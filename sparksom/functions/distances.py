@@ -29,9 +29,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(fold(F.transform(a, lambda v: v * v)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once per row; inside a lambda over an array
+    an outer expression would be worked out again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def centred(a: Column) -> Column:
-    mean = fold(a) / F.size(a)
-    return F.transform(a, lambda v: v - mean)
+    return let(fold(a) / F.size(a), lambda mean: F.transform(a, lambda v: v - mean))
 
 
 def _euclidean(a: Column, b: Column) -> Column:

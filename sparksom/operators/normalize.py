@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.distances import fold, norm
+from ..functions.distances import fold, let, norm
 
 FEATURE_METHODS = ("zscore", "fwn", "robust", "01scale")
 SAMPLE_METHODS = ("zscore_sample", "robust_sample", "minmax_sample", "l2", "euclidean")
@@ -30,22 +30,20 @@ def _sample_quantile(ordered: Column, q: float) -> Column:
 
 def per_sample(method: str, a: Column) -> Column:
     """A sample normalised by its own statistics; an empty array stays empty, null null."""
+    def scaled(centre: Column, spread: Column) -> Column:
+        stats = F.struct(centre.alias("m"), _or_one(spread).alias("s"))
+        return let(stats, lambda t: F.transform(a, lambda v: (v - t["m"]) / t["s"]))
+
     if method in ("l2", "euclidean"):
-        length = _or_one(norm(a))
-        return F.transform(a, lambda v: v / length)
+        return scaled(F.lit(0.0), norm(a))
     if method == "zscore_sample":
         mean = fold(a) / F.size(a)
-        spread = _or_one(F.sqrt(fold(F.transform(a, lambda v: (v - mean) * (v - mean))) / F.size(a)))
-        return F.transform(a, lambda v: (v - mean) / spread)
+        return let(mean, lambda m: scaled(m, F.sqrt(fold(F.transform(a, lambda v: (v - m) * (v - m))) / F.size(a))))
     if method == "robust_sample":
-        ordered = F.array_sort(a)
-        median = _sample_quantile(ordered, 0.5)
-        spread = _or_one(_sample_quantile(ordered, 0.75) - _sample_quantile(ordered, 0.25))
-        return F.transform(a, lambda v: (v - median) / spread)
+        q = _sample_quantile
+        return let(F.array_sort(a), lambda o: scaled(q(o, 0.5), q(o, 0.75) - q(o, 0.25)))
     if method == "minmax_sample":
-        low, high = F.array_min(a), F.array_max(a)
-        width = _or_one(high - low)
-        return F.transform(a, lambda v: (v - low) / width)
+        return scaled(F.array_min(a), F.array_max(a) - F.array_min(a))
     raise ValueError(f"not a per-sample method: {method!r}")
 
 
