@@ -39,8 +39,18 @@ LOOKALIKES = {
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "Տ": "S",
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L",
     "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K",
+    "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W",
+    "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # Same shapes of small letters, and of letters that ASCII has not
+    "α": "a", "ρ": "p", "υ": "u", "\u0261": "g", "\u0251": "a", "ɛ": "ε", "ԑ": "ε", "ǝ": "ə", "Ð": "Đ", "Ɖ": "Đ",
+    "Ӕ": "Æ", "ӕ": "æ", "Ө": "Ɵ", "ө": "ɵ", "Г": "Γ", "П": "Π", "Ф": "Φ",
+    # Extended Arabic-Indic digits, but not 4 to 6, which look different
+    "\u06f0": "\u0660", "\u06f1": "\u0661", "\u06f2": "\u0662", "\u06f3": "\u0663", "\u06f7": "\u0667",
+    "\u06f8": "\u0668", "\u06f9": "\u0669",
     # Signs
-    "‐": "-", "˗": "-", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "ꓸ": ".", "‚": ",", "ǃ": "!", "∗": "*", "∣": "|",
+    "։": ":", "ʼ": "’", "ʻ": "‘", "∙": "·", "⋅": "·", "ǀ": "|", "‐": "-", "˗": "-", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "ꓸ": ".", "‚": ",", "ǃ": "!", "∗": "*", "∣": "|",
 }
 #: Compatibility characters (ranges) that look like their decomposition.
 JOINED = ((0xB5, 0xB5), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x587, 0x587), (0x2024, 0x2026),
@@ -48,7 +58,7 @@ JOINED = ((0xB5, 0xB5), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x587,
           (0x2135, 0x2138), (0x2160, 0x217F), (0x222C, 0x2230), (0x2A74, 0x2A76), (0x2E9F, 0x2E9F),
           (0x2EF3, 0x2EF3), (0x2F00, 0x2FD5), (0x3131, 0x318E), (0xFB00, 0xFB17), (0xFB4F, 0xFB4F))
 #: Kinds of compatibility decomposition that keep the looks.
-SAME_LOOKS = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+SAME_LOOKS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Line ends, which count.
 LINE_ENDS = "\n\r\x0b\x0c\x85\u2028\u2029"
 #: Letters and marks that show nothing.

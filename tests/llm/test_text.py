@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from sparksom.llm.lookalikes import lookalike_pairs, skeleton, skeleton_column
+from sparksom.llm.lookalikes import LOOKALIKES, lookalike_pairs, skeleton, skeleton_column
 from sparksom.llm.packing import Plan, best_fit, pack, pack_sizes, reduce_dominated
 from sparksom.llm.tokenizer import BytePairEncoder, encode_column, token_counts
 
@@ -116,6 +116,14 @@ def test_skeletons():
     assert all(skeleton(a) != skeleton(b) for a, b in DIFFERENT)
 
 
+def test_skeletons_of_other_scripts():
+    same = [("a-b", "a\u2011b"), ("a\u2010b", "a\u2011b"), ("pau", "\u03c1\u03b1\u03c5"), ("gal", "\u0261\u0251l"), ("LISU", "\ua4e1\ua4f2\ua4e2\ua4f4"),
+            ("\u0660\u0661\u0662\u0663\u0667\u0668\u0669", "\u06f0\u06f1\u06f2\u06f3\u06f7\u06f8\u06f9")]
+    assert all(skeleton(a) == skeleton(b) for a, b in same)
+    assert all(skeleton(chr(0x660 + d)) != skeleton(chr(0x6F0 + d)) for d in (4, 5, 6))
+    assert all(skeleton(v) == v for v in LOOKALIKES.values())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=30))
 def test_skeleton_is_its_own_skeleton(text):
