@@ -117,6 +117,11 @@ def p5_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir).membership().withColumnRenamed("cluster", "cluster_id")
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links each cluster has, and how many of them Markov clustering cut."""
+    return _clusters(spark, sf_dir).link_counts().withColumnRenamed("cluster", "cluster_id")
+
+
 #: The public vocabulary's ranks; set SPARKSOM_VOCABULARY where it lies elsewhere.
 VOCABULARY = os.environ.get("SPARKSOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CAPACITY = 4096
@@ -161,7 +166,7 @@ def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked,
-        p5_found, p5_clusters, p5_membership,
+        p5_found, p5_clusters, p5_membership, p5_links,
         p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_skeletons)}
 
 
