@@ -4,121 +4,183 @@ The skeleton of a text follows the published confusables method: decompose canon
 replace every character by its prototype, decompose again. Two texts look the same if
 their skeletons are equal. The prototype of a character is
 
-* nothing, where the character shows nothing: format and control characters (except line
-  ends), variation selectors, fillers; a zero-width joiner counts between pictographs,
-  where it changes what is shown;
+* nothing, where the character shows nothing: default-ignorable characters (zero-width,
+  selectors, fillers, soft hyphens, marks of direction) and control characters except line
+  ends. A zero-width joiner counts between pictographs and tags count after a flag, where
+  they change what is shown, and so does the right-to-left override, which turns the order;
 * a plain space, for any blank within a line (tabs, non-breaking, thin, ideographic ...);
 * its compatibility decomposition, where that changes width or splits joined letters
   (full and half width, ligatures, presentation forms, Roman numerals ...) but not where
   it changes the looks (super- and subscripts, circled, fractions, font styles);
-* the letter of another script with the same shape, from the table below;
+* the prototype of the published table of confusable characters of all scripts, as the
+  ICU library in Spark's jars has it;
 * else itself. Case, accents, digits, punctuation, the number of blanks and line ends stay.
+
+"Visibly different stays different" demands exceptions from the table: characters of ASCII
+never change (so l, 1, I and | stay apart, and 0 and O, and rn and m), look-alikes of several
+go to the one of their kind (capital, small letter, digit or sign); combining marks,
+spacing accents, quotation marks and dashes stay; an i without its dot (or another mark above) is
+no i; letters and digits do not become signs, nor signs letters; and of prototypes of several
+characters only those of a letter and its marks are taken.
 """
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans import lookup_join, materialize
+from ..plans import lookup_join, materialize, release
 
-#: Characters of other scripts whose shape is that of the letter or sign.
+#: Where shapes agree otherwise than the published table has it.
 LOOKALIKES = {
-    # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ѵ": "V", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "Ә": "Ə", "ә": "ə",
-    # Greek
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    # Armenian, Cherokee
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "Տ": "S",
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L",
-    "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
-    # Lisu
-    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K",
-    "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W",
-    "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
-    # Same shapes of small letters, and of letters that ASCII has not
-    "α": "a", "ρ": "p", "υ": "u", "\u0261": "g", "\u0251": "a", "ɛ": "ε", "ԑ": "ε", "ǝ": "ə", "Ð": "Đ", "Ɖ": "Đ",
-    "Ӕ": "Æ", "ӕ": "æ", "Ө": "Ɵ", "ө": "ɵ", "Г": "Γ", "П": "Π", "Ф": "Φ",
-    # Extended Arabic-Indic digits, but not 4 to 6, which look different
-    "\u06f0": "\u0660", "\u06f1": "\u0661", "\u06f2": "\u0662", "\u06f3": "\u0663", "\u06f7": "\u0667",
-    "\u06f8": "\u0668", "\u06f9": "\u0669",
-    # Signs
-    "։": ":", "ʼ": "’", "ʻ": "‘", "∙": "·", "⋅": "·", "ǀ": "|", "‐": "-", "˗": "-", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "ꓸ": ".", "‚": ",", "ǃ": "!", "∗": "*", "∣": "|",
+    "ꓲ": "I", "ǀ": "|", "ǃ": "!", "ɩ": "ı", "ι": "ı", "ı": "ı", "ꙇ": "ı", "ɪ": "ı", "Ӕ": "Æ", "ӕ": "æ",
+    "ӏ": "l", "Ԛ": "Q",
+    "‐": "-", "\u2011": "-", "˗": "-", "ʼ": "’", "ʻ": "‘", "։": ":", "ː": ":",
+    "\u06f0": "\u0660",  # the two Arabic zeros
 }
 #: Compatibility characters (ranges) that look like their decomposition.
 JOINED = ((0xB5, 0xB5), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x587, 0x587), (0x2024, 0x2026),
           (0x2033, 0x2037), (0x203C, 0x203C), (0x2047, 0x2049), (0x2103, 0x2103), (0x2109, 0x2109),
           (0x2135, 0x2138), (0x2160, 0x217F), (0x222C, 0x2230), (0x2A74, 0x2A76), (0x2E9F, 0x2E9F),
           (0x2EF3, 0x2EF3), (0x2F00, 0x2FD5), (0x3131, 0x318E), (0xFB00, 0xFB17), (0xFB4F, 0xFB4F))
-#: Kinds of compatibility decomposition that keep the looks.
+#: Kinds of compatibility decomposition that change the looks, and that keep them.
+CHANGED_LOOKS = ("<font>", "<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>", "<small>")
 SAME_LOOKS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Line ends, which count.
 LINE_ENDS = "\n\r\x0b\x0c\x85\u2028\u2029"
-#: Letters and marks that show nothing.
-FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u2800"
+#: A blank of another script that shows nothing, the override that turns the order.
+FILLERS, TURNS = "\u2800", "\u202e"
+#: A joiner between pictographs (a selector or a skin tone may follow the first), and the tags of a flag.
+KEPT = re.compile("(?<=[^\\w\\s])\u200d(?=[^\\w\\s])|(?<=\U0001f3f4)[\U000e0020-\U000e007f]+")
 JOINER = "\u200d"
-#: A noncharacter that stands for a joiner that is kept.
-KEPT_JOINER = "\uffff"
+#: A dotless i that has a mark above looks like an i that has it, and with a dot above like i.
+DOTTED = re.compile("ı\u0307|ı(?=[\u0300-\u0306\u0308-\u0314])")
+#: Surrogates, which no text of Arrow's can hold, stand for kept joiners and tags.
+KEPT_JOINER, KEPT_TAGS = "\ud800", 0xD820 - 0xE0020
+_BACK = {ord(KEPT_JOINER): JOINER, **{p + KEPT_TAGS: chr(p) for p in range(0xE0020, 0xE0080)}}
+
+
+class Skeleton:
+    """The consistent form of a text, a function: equal for texts that look the same.
+
+    ``published`` has the prototypes of the published table that differ from a character's
+    canonical decomposition, ``ignorable`` the ranges of characters that show nothing.
+    """
+
+    def __init__(self, published: dict[int, str], ignorable: list[tuple[int, int]]):
+        self.published, self.ignorable = published, ignorable
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Skeleton:
+        """With the tables of the session's ICU library, read once (some 0.5 s)."""
+        context = spark.sparkContext
+        known = getattr(context, "_sparksom_skeleton", None)
+        if known is None:
+            known = context._sparksom_skeleton = cls(*_published(context._jvm.com.ibm.icu.text))
+        return known
+
+    @cached_property
+    def prototypes(self) -> _Prototypes:
+        return _Prototypes(self)
+
+    def __getstate__(self):
+        return self.published, self.ignorable
+
+    def __setstate__(self, state):
+        self.published, self.ignorable = state
+
+    def __call__(self, text: str) -> str:
+        if text.isascii():
+            return text.translate(self.prototypes)
+        text = unicodedata.normalize("NFD", text)
+        kept = JOINER in text or "\U0001f3f4" in text
+        if kept:
+            text = KEPT.sub(_stand_in, text)
+        text = unicodedata.normalize("NFD", text.translate(self.prototypes))
+        if "ı" in text:
+            text = DOTTED.sub("i", text)
+        return text.translate(_BACK) if kept else text
+
+    def prototype(self, char: str) -> str:
+        category, point = unicodedata.category(char), ord(char)
+        if char in LINE_ENDS or char == TURNS or category == "Cs":
+            return char
+        if char == "\t" or category == "Zs":
+            return " "
+        if category == "Cc" or char in FILLERS or any(a <= point <= b for a, b in self.ignorable):
+            return ""
+        if char in LOOKALIKES:
+            return LOOKALIKES[char]
+        kind, *points = unicodedata.decomposition(char).split() or [""]
+        if kind in SAME_LOOKS or (kind == "<compat>" and any(a <= point <= b for a, b in JOINED)):
+            inner = unicodedata.normalize("NFD", "".join(chr(int(p, 16)) for p in points))
+            return "".join(self.prototypes[ord(c)] for c in inner)
+        if point < 128 or category[0] == "M" or category in ("Sk", "Pd", "Pi", "Pf") or kind in CHANGED_LOOKS:
+            return char
+        return self._shape(char, category)
+
+    def _shape(self, char: str, category: str) -> str:
+        shape = self.published.get(ord(char), char)
+        size = 2 if shape.startswith("rn") else 1
+        base, marks = shape[:size], shape[size:]
+        ascii_ones = self._ascii.get(base, base if len(base) == 1 else "")
+        if not ascii_ones or any(unicodedata.category(m)[0] != "M" for m in marks):
+            return char
+        wanted = "N" if category[0] == "N" else category if category in ("Lu", "Ll") else "S" if category[0] in "PS" else "Ll"
+        base = next((c for c in ascii_ones if unicodedata.category(c).startswith(wanted)), ascii_ones[0])
+        other_kind = category != "Lm" and (category[0] in "PS") != (unicodedata.category(base)[0] in "PS")
+        if other_kind or base in "\"'`-":
+            return char
+        return (base if base == char else self.prototypes[ord(base)]) + marks
+
+    @cached_property
+    def _ascii(self) -> dict[str, str]:
+        """Characters of ASCII by their common prototype."""
+        out: dict[str, str] = {}
+        for point in sorted(range(33, 127), key=lambda p: (chr(p).upper() == chr(p), not chr(p).isalpha(), p)):
+            shape = self.published.get(point, chr(point))
+            out[shape] = out.get(shape, "") + chr(point)
+        return out
 
 
 class _Prototypes(dict):
     """Code point to prototype, worked out when first asked for; for ``str.translate``."""
 
+    def __init__(self, skeleton: Skeleton):
+        self.skeleton = skeleton
+
     def __missing__(self, point: int) -> str:
-        result = self[point] = _prototype(chr(point))
+        result = self[point] = self.skeleton.prototype(chr(point))
         return result
 
 
-def _prototype(char: str) -> str:
-    category = unicodedata.category(char)
-    if char in LINE_ENDS:
-        return char
-    if char == "\t" or category == "Zs":
-        return " "
-    if category in ("Cf", "Cc") or char in FILLERS or "VARIATION SELECTOR" in unicodedata.name(char, ""):
-        return ""
-    if char in LOOKALIKES:
-        return LOOKALIKES[char]
-    kind, *points = unicodedata.decomposition(char).split() or [""]
-    if kind in SAME_LOOKS or (kind == "<compat>" and any(a <= ord(char) <= b for a, b in JOINED)):
-        inner = unicodedata.normalize("NFD", "".join(chr(int(p, 16)) for p in points))
-        return "".join(PROTOTYPES[ord(c)] for c in inner)
-    return char
-
-
-PROTOTYPES = _Prototypes()
-
-
-def skeleton(text: str) -> str:
-    """The consistent form of a text; equal for texts that look the same."""
-    if text.isascii():
-        return text.translate(PROTOTYPES)
-    text = unicodedata.normalize("NFD", text)
-    if JOINER in text:
-        text = _keep_joiners(text)
-    text = text.translate(PROTOTYPES)
-    return unicodedata.normalize("NFD", text).replace(KEPT_JOINER, JOINER)
-
-
-def _keep_joiners(text: str) -> str:
-    """Marks the joiners between two pictographs (modifiers and selectors may follow the first)."""
-    out = []
-    for i, char in enumerate(text):
-        if char == JOINER:
-            j = i - 1
-            while j >= 0 and (text[j] == "\ufe0f" or unicodedata.category(text[j]) == "Sk"):
-                j -= 1
-            if j >= 0 and i + 1 < len(text) and {unicodedata.category(text[j]), unicodedata.category(text[i + 1])} == {"So"}:
-                char = KEPT_JOINER
-        out.append(char)
-    return "".join(out)
+def _published(icu) -> tuple[dict[int, str], list[tuple[int, int]]]:
+    """Prototypes and ignorable ranges from the ICU library."""
+    checker = getattr(icu, "SpoofChecker$Builder")().build()
+    points = [p for p in range(0x80) if chr(p) != "\n"]
+    points += [p for p in range(0x80, 0x110000) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co")]
+    table = {}
+    for start in range(0, len(points), 20_000):
+        some = points[start:start + 20_000]
+        shapes = checker.getSkeleton("\n".join(map(chr, some))).split("\n")
+        table.update((p, s) for p, s in zip(some, shapes, strict=True) if s != unicodedata.normalize("NFD", chr(p)))
+    hidden = icu.UnicodeSet("[:Default_Ignorable_Code_Point:]")
+    return table, [(hidden.getRangeStart(i), hidden.getRangeEnd(i)) for i in range(hidden.getRangeCount())]
+
+
+def _stand_in(found: re.Match) -> str:
+    text, at = found.string, found.start()
+    if found.group() != JOINER:
+        return "".join(chr(ord(c) + KEPT_TAGS) for c in found.group())
+    while at and (text[at - 1] == "\ufe0f" or unicodedata.category(text[at - 1]) == "Sk"):
+        at -= 1
+    around = text[at - 1: at] + text[found.end()]
+    return KEPT_JOINER if [unicodedata.category(c) for c in around] == ["So", "So"] else JOINER
 
 
 def skeleton_column(df: DataFrame, text: str, out: str = "skeleton") -> DataFrame:
@@ -128,6 +190,7 @@ def skeleton_column(df: DataFrame, text: str, out: str = "skeleton") -> DataFram
     Another column already named ``out`` is replaced; all others pass through.
     """
     names = [c for c in df.columns if c not in (text, out)]
+    skeleton = Skeleton.of(df.sparkSession)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + f", `{out}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +208,7 @@ def look_classes(df: DataFrame, item: str, text: str) -> DataFrame:
     on are narrow however long the texts. Null texts and texts without a visible
     character have no look and are left out.
     """
-    kind = df.schema[item].dataType.simpleString()
+    kind, skeleton = df.schema[item].dataType.simpleString(), Skeleton.of(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +241,7 @@ def lookalike_pairs(df: DataFrame, item: str, text: str, part_rows: int = 10_000
     inside = lookup_join(members, classes, ["look", "text_key"], "inner", salt_by="item").select(
         "item", "text_key", F.pmod(F.xxhash64("item"), parts).cast("int").alias("part"))
     inside = materialize(inside, "look-members")
+    release(members)
 
     first, second = (classes.select("look", F.col("text_key").alias(f"key_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     pairs = first.join(second, "look").where("key_a < key_b")
