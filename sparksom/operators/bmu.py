@@ -99,25 +99,27 @@ GROUP_ROWS = 100_000
 
 
 def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str, item: str,
-               distance: str = "euclidean", band: int | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+               distance: str = "euclidean", band: int | None = None, max_nodes: int = MAX_NODES, keep: list[str] | None = None) -> DataFrame:
     """``samples`` with ``nid, dist, nid2, dist2``, each against the codebook of its own map.
 
-    ``codebook`` has ``by, nid, w``. Up to ``max_nodes`` nodes travel to the tasks as arrays
+    ``codebook`` has ``by, nid, w`` and may have ``distance``, the name of the map's own (null:
+    ``distance``). ``keep`` are the samples' columns that go on, all of them by default. Up to ``max_nodes`` nodes travel to the tasks as arrays
     and no sample is shuffled; beyond, samples meet their map's nodes in groups of
     (map, salt), as many salts as the largest map needs to stay near ``GROUP_ROWS``.
     Samples must be complete and finite; samples of unknown maps are left out.
     """
-    names = [*samples.columns, "nid", "dist", "nid2", "dist2"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + ", " + BMU_SCHEMA
+    keep = samples.columns if keep is None else keep
+    names = [*keep, "nid", "dist", "nid2", "dist2"]
+    schema = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keep) + ", " + BMU_SCHEMA
 
     def score(block: pa.Table, nodes: dict) -> pa.Table:
-        kernel = distances.get(distance, band).kernel
         keys = block[by].combine_chunks().to_numpy(zero_copy_only=False)
         out, rows = [[] for _ in range(4)], []
         for key in np.unique(keys[~np.array([k is None for k in keys])] if keys.dtype == object else keys):
             if key not in nodes:
                 continue
-            nids, w = nodes[key]
+            nids, w, name = nodes[key]
+            kernel = distances.get(name, band).kernel
             mine = np.flatnonzero(keys == key)
             x = block[features].take(pa.array(mine)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
             for at, scores in block_scores(kernel, x, w):
@@ -125,18 +127,19 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
                 for o, part in zip(out, (nids[one], d1, nids[two], d2)):
                     o.append(part)
             rows.append(mine)
-        picked = block.take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+        picked = block.select(keep).take(pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
         columns = [np.concatenate(o) if o else np.zeros(0) for o in out]
         kinds = (pa.int32(), pa.float64(), pa.int32(), pa.float64())
         return pa.table([*picked.columns, *(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds))], names=names)
 
     def table_of(rows) -> dict:
         found: dict = {}
-        for key, nid, w in rows:
-            found.setdefault(key, []).append((nid, w))
-        return {k: (np.array([n for n, _ in sorted(v)], np.int32), np.array([w for _, w in sorted(v)], float)) for k, v in found.items()}
+        for key, nid, w, name in rows:
+            found.setdefault(key, []).append((nid, w, name))
+        return {k: (np.array([n for n, _, _ in sorted(v)], np.int32), np.array([w for _, w, _ in sorted(v)], float), v[0][2]) for k, v in found.items()}
 
-    nodes = codebook.select(by, "nid", "w")
+    own = F.coalesce("distance", F.lit(distance)) if "distance" in codebook.columns else F.lit(distance)
+    nodes = codebook.select(by, "nid", "w", own.alias("distance"))
     if nodes.count() <= max_nodes:
         shared = samples.sparkSession.sparkContext.broadcast(table_of(nodes.collect()))
 
@@ -152,7 +155,7 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
     repeated = nodes.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = zip(*(right[c].to_pylist() for c in (by, "nid", "w")))
+        rows = zip(*(right[c].to_pylist() for c in (by, "nid", "w", "distance")))
         return score(left.drop_columns(["__salt"]), table_of(rows))
 
     return spread.groupBy(by, "__salt").cogroup(repeated.groupBy(by, "__salt")).applyInArrow(meet, schema)

@@ -18,14 +18,15 @@ def lookup_join(
 ) -> DataFrame:
     """Joins ``left`` with ``keys`` (unique by ``on``), whatever the skew of ``left``.
 
-    The rows of ``keys`` are counted first (for a Parquet table the footers answer).
+    The rows of ``keys`` are counted first, a count without columns (of a Parquet table
+    only the footers are read).
     Up to ``max_broadcast_rows`` the table is broadcast and ``left`` is not shuffled at
     all. Beyond, both sides are shuffled; with ``salt_by`` (a column that varies within
     a key, such as the row's id) ``left`` is spread over ``salts`` parts of each key and
     ``keys`` is repeated once per part, so that no key, however hot, makes one long
-    task. ``how`` is ``left_semi``, ``left`` or ``inner``; null keys match nothing.
+    task. ``how`` is ``left_semi``, ``left_anti``, ``left`` or ``inner``; null keys match nothing.
     """
-    if keys.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    if keys.count() <= max_broadcast_rows:
         return left.join(F.broadcast(keys), on, how)
     if salt_by is None:
         return left.join(keys, on, how)

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import distances
 from ..operators.bmu import bmu_by_map
 from ..plans import lookup_join
-from ..sources import read_table, records
+from ..sources import read_table, records, records_in_place
 
 DIMS = 16
 #: A codebook with weights is broadcast up to this many nodes (some 20 MB).
@@ -17,10 +18,17 @@ def complete(column: str) -> Column:
     return (F.size(column) == DIMS) & F.forall(column, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
 
 
+def deliveries(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Deliveries of records with a complete sample vector: ``id, map_id, data`` and more
+    columns; an id may come several times."""
+    names = dict.fromkeys(["id", "map_id", "data", *columns])
+    return read_table(spark, sf_dir, "classification_map", *names).where(F.col("id").isNotNull() & complete("data"))
+
+
 def samples(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Records with a complete sample vector: ``id, map_id, data`` and more columns."""
+    """Records with a complete sample vector, each once, in their place: no vector is shuffled."""
     names = dict.fromkeys(["map_id", "data", *columns])
-    return records(spark, sf_dir, *names).where(complete("data"))
+    return records_in_place(spark, sf_dir, *names).where(complete("data"))
 
 
 def placed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -31,9 +39,9 @@ def placed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete samples on a valid position with the weights ``w`` of their node."""
+    """Deliveries of complete samples on a valid position with the weights ``w`` of their node."""
     nodes = read_table(spark, sf_dir, "codebook", "map_id", F.col("r").alias("x"), F.col("c").alias("y"), "nid", "w")
-    return lookup_join(samples(spark, sf_dir, "x", "y"), nodes, ["map_id", "x", "y"], "inner", salt_by="id", max_broadcast_rows=MAX_WIDE_ROWS)
+    return lookup_join(deliveries(spark, sf_dir, "x", "y"), nodes, ["map_id", "x", "y"], "inner", salt_by="id", max_broadcast_rows=MAX_WIDE_ROWS)
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,10 +53,34 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "codebook", "map_id", "nid", "r", "c")
 
 
-def scored(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Complete samples with their two best nodes on their own map and both positions."""
-    book = read_table(spark, sf_dir, "codebook", "map_id", "nid", "r", "c", "w")
-    best = bmu_by_map(samples(spark, sf_dir, *columns), "data", book, "map_id", "id")
+def scored(spark: SparkSession, sf_dir: str, distance: str = "euclidean", own: bool = False) -> DataFrame:
+    """Records with a complete sample, their two best nodes on their own map and both positions.
+
+    Deliveries are scored where they lie; what is shuffled, to count each record once, are
+    an id and the result. ``own`` takes each map's own distance, as ``trained_map`` has it.
+    """
+    book = read_table(spark, sf_dir, "codebook", "map_id", "nid", "w")
+    if own:
+        book = book.join(own_distances(spark, sf_dir), "map_id", "left")
+    best = bmu_by_map(deliveries(spark, sf_dir), "data", book, "map_id", "id", distance, keep=["id", "map_id"]).dropDuplicates(["id"])
+    return _positions(spark, sf_dir, best)
+
+
+def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`scored`, with the samples' vectors ``data``."""
+    book = read_table(spark, sf_dir, "codebook", "map_id", "nid", "w")
+    return _positions(spark, sf_dir, bmu_by_map(samples(spark, sf_dir), "data", book, "map_id", "id"))
+
+
+def own_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``map_id, distance``: the maps' distances by their registered names; Euclidean where a
+    map names none or an unknown one."""
+    name = F.lower(F.trim("distance"))
+    known = F.when(name.isin(*distances.available()), name).otherwise(F.lit("euclidean"))
+    return read_table(spark, sf_dir, "trained_map", "map_id", known.alias("distance")).dropDuplicates(["map_id"])
+
+
+def _positions(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
     side = sizes(spark, sf_dir)
     joined = lookup_join(best, side, ["map_id"], "inner", salt_by="id")
     row = lambda n: F.floor(F.col(n) / F.col("size")).cast("int")
@@ -64,9 +96,11 @@ SQL_WEIGHED = SQL_SAMPLES + """,
 weighed AS (SELECT samp.*, c.nid, c.w FROM samp JOIN codebook c ON samp.map_id = c.map_id AND samp.x = c.r AND samp.y = c.c)"""
 SQL_PLACED = SQL_RECORDS + """,
 placed AS (SELECT rec.*, c.nid, c.r, c.c FROM rec JOIN codebook c ON rec.map_id = c.map_id AND rec.x = c.r AND rec.y = c.c)"""
-SQL_SCORED = SQL_SAMPLES + """,
+SQL_PAIRS = SQL_SAMPLES + """,
 pairs AS (SELECT s.id, s.map_id, s.label, c.nid, c.r, c.c, list_distance(s.data, c.w) AS d
-  FROM samp s JOIN codebook c ON s.map_id = c.map_id),
+  FROM samp s JOIN codebook c ON s.map_id = c.map_id)"""
+SQL_RANKED = """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS k FROM pairs),
 scored AS (SELECT a.id, a.map_id, a.label, a.nid, a.d AS dist, a.r, a.c, b.nid AS nid2, b.d AS dist2, b.r AS r2, b.c AS c2
   FROM ranked a JOIN ranked b ON a.id = b.id AND a.k = 1 AND b.k = 2)"""
+SQL_SCORED = SQL_PAIRS + SQL_RANKED

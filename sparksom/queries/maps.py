@@ -14,13 +14,17 @@ MAP = ["map_id"]
 def _distance(name: str, band: int | None = None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = base.weighed(spark, sf_dir).select("id", "data", "w")
-        return distances.with_pair_distance(pairs, "data", "w", name, "dist", band).select("id", F.round("dist", 6).alias("dist"))
+        return distances.with_pair_distance(pairs, "data", "w", name, "dist", band).select("id", F.round("dist", 6).alias("dist")).dropDuplicates(["id"])
 
     return query
 
 
-def bmu_top2(spark, sf_dir):
-    return base.scored(spark, sf_dir).select("id", "map_id", "nid", "nid2", F.round("dist", 6).alias("dist"), F.round("dist2", 6).alias("dist2"))
+def _bmu(distance: str = "euclidean", own: bool = False):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        best = base.scored(spark, sf_dir, distance, own)
+        return best.select("id", "map_id", "nid", "nid2", F.round("dist", 6).alias("dist"), F.round("dist2", 6).alias("dist2"))
+
+    return query
 
 
 def activation_map(spark, sf_dir):
@@ -40,14 +44,16 @@ def map_quality(spark, sf_dir):
 
 
 def qe_euclidean(spark, sf_dir):
-    e = quality.quantization_error_euclidean(base.weighed(spark, sf_dir), "data", "w", MAP)
+    pairs = base.weighed(spark, sf_dir)
+    each = distances.with_pair_distance(pairs, "data", "w", "euclidean", "dist").select("id", "map_id", "dist").dropDuplicates(["id"])
+    e = each.groupBy("map_id").agg(F.avg("dist").alias("quantization_error_euclidean"))
     return e.select("map_id", F.round("quantization_error_euclidean", 5).alias("quantization_error_euclidean"))
 
 
 def distortion(spark, sf_dir):
     book = read_table(spark, sf_dir, "codebook")
     sigma = base.sizes(spark, sf_dir).select("map_id", F.col("size").cast("double").alias("sigma"))
-    rows = base.scored(spark, sf_dir).select("map_id", "nid", "data")
+    rows = base.scored_vectors(spark, sf_dir).select("map_id", "nid", "data")
     return quality.distortion(rows, "data", book, sigma, MAP).select("map_id", F.round("distortion", 3).alias("distortion"))
 
 
@@ -118,7 +124,8 @@ def rotated_umatrix(spark, sf_dir):
 def queries() -> dict:
     named = {f"dist_{n}": _distance(n) for n in distances.available()}
     named["dist_dtw_band"] = _distance("dtw", 2)
-    plain = (bmu_top2, activation_map, error_maps, map_quality, qe_euclidean, distortion, umatrix, majority_class, hit_map, purity, nmi,
+    named |= {"bmu_top2": _bmu(), "bmu_own_distance": _bmu(own=True)} | {f"bmu_{n}": _bmu(n) for n in distances.available() if n != "euclidean"}
+    plain = (activation_map, error_maps, map_quality, qe_euclidean, distortion, umatrix, majority_class, hit_map, purity, nmi,
              heat_map, activation_histogram, characteristics, codebook_planes, weight_grid, rotated_weights, rotated_umatrix)
     return {**named, **{f.__name__: f for f in plain}}
 
@@ -158,20 +165,47 @@ def oracle_sql() -> dict[str, str]:
     def dist(expr: str) -> str:
         return f"WITH {base.SQL_WEIGHED} SELECT id, round({expr}, 6) AS dist FROM weighed"
 
+    top2 = "SELECT id, map_id, nid, nid2, round(dist, 6) AS dist, round(dist2, 6) AS dist2 FROM scored"
+
+    def bmu(expr: str) -> str:
+        pairs = base.SQL_PAIRS.replace("list_distance(s.data, c.w)", expr)
+        return f"WITH {pairs}{base.SQL_RANKED} {top2}"
+
     centred = [f"list_transform({v}, lambda t: t - list_avg({v}))" for v in ("data", "w")]
     size = "sqrt(list_dot_product(data, data)) * sqrt(list_dot_product(w, w))"
+    cross = f"""CASE WHEN {size} = 0 THEN 1.0 ELSE 1 - list_max(list_transform(range(-15, 16), lambda s:
+            abs(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i + s BETWEEN 1 AND 16 THEN data[i] * w[i + s] ELSE 0.0 END))))) / ({size}) END"""
+    flat = {
+        # The terms are added in the kernel's order: some nodes are equally far from a sample.
+        "manhattan": f"list_transform([list_transform({_ZIP}, lambda t: abs(t[1] - t[2]))], lambda v: " + " + ".join(
+            f"(({four[0]}) + ({four[1]}))" for four in ([f"(v[{i}] + v[{i + 8}]) + (v[{i + 1}] + v[{i + 9}])" for i in at] for at in ((1, 3), (5, 7)))) + ")[1]",
+        "chebyshev": f"list_max(list_transform({_ZIP}, lambda t: abs(t[1] - t[2])))",
+        "cosine": f"CASE WHEN {size} = 0 THEN 1.0 ELSE 1 - {_COS.format(a='data', b='w')} END",
+        "correlation": f"""CASE WHEN list_max(data) = list_min(data) OR list_max(w) = list_min(w) THEN 1.0
+            ELSE 1 - abs({_COS.format(a=centred[0], b=centred[1])}) END""",
+    }
     return {
         "dist_euclidean": dist(f"sqrt(list_sum(list_transform({_ZIP}, lambda t: (t[1] - t[2]) ** 2)))"),
-        "dist_manhattan": dist(f"list_sum(list_transform({_ZIP}, lambda t: abs(t[1] - t[2])))"),
-        "dist_chebyshev": dist(f"list_max(list_transform({_ZIP}, lambda t: abs(t[1] - t[2])))"),
-        "dist_cosine": dist(f"CASE WHEN {size} = 0 THEN 1.0 ELSE 1 - {_COS.format(a='data', b='w')} END"),
-        "dist_correlation": dist(f"""CASE WHEN list_max(data) = list_min(data) OR list_max(w) = list_min(w) THEN 1.0
-            ELSE 1 - abs({_COS.format(a=centred[0], b=centred[1])}) END"""),
-        "dist_cross_correlation": dist(f"""CASE WHEN {size} = 0 THEN 1.0 ELSE 1 - list_max(list_transform(range(-15, 16), lambda s:
-            abs(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i + s BETWEEN 1 AND 16 THEN data[i] * w[i + s] ELSE 0.0 END))))) / ({size}) END"""),
+        **{f"dist_{name}": dist(expr) for name, expr in flat.items()},
+        "dist_cross_correlation": dist(cross),
         "dist_dtw": _DTW.format(samples=base.SQL_WEIGHED, inside="TRUE"),
         "dist_dtw_band": _DTW.format(samples=base.SQL_WEIGHED, inside="abs(i + 1 - j) <= 2"),
-        "bmu_top2": f"WITH {base.SQL_SCORED} SELECT id, map_id, nid, nid2, round(dist, 6) AS dist, round(dist2, 6) AS dist2 FROM scored",
+        "bmu_top2": f"WITH {base.SQL_SCORED} {top2}",
+        **{f"bmu_{name}": bmu(expr) for name, expr in flat.items()},
+        "bmu_own_distance": f"""WITH RECURSIVE {base.SQL_SAMPLES},
+            own AS (SELECT map_id, any_value(CASE WHEN lower(trim(distance)) IN ('manhattan', 'chebyshev', 'cosine', 'correlation', 'dtw', 'cross_correlation')
+              THEN lower(trim(distance)) ELSE 'euclidean' END) AS distance FROM trained_map GROUP BY map_id),
+            met AS (SELECT s.id, s.map_id, s.label, s.data, c.nid, c.r, c.c, c.w, coalesce(o.distance, 'euclidean') AS distance
+              FROM samp s JOIN codebook c ON s.map_id = c.map_id LEFT JOIN own o ON o.map_id = s.map_id),
+            dp(id, nid, i, data, w, costs) AS (
+              SELECT id, nid, 0, data, w, [0.0::double] || list_transform(range(16), lambda k: 'infinity'::double) FROM met WHERE distance = 'dtw'
+              UNION ALL
+              SELECT id, nid, i + 1, data, w, list_reduce(range(1, 17), lambda acc, j: list_append(acc, (data[i + 1] - w[j]) ** 2 + least(costs[j + 1], costs[j], acc[j])),
+                ['infinity'::double]) FROM dp WHERE i < 16),
+            pairs AS (SELECT id, map_id, label, nid, r, c, CASE distance {' '.join(f"WHEN '{name}' THEN {expr}" for name, expr in flat.items())}
+                WHEN 'cross_correlation' THEN {cross} ELSE list_distance(data, w) END AS d FROM met WHERE distance <> 'dtw'
+              UNION ALL SELECT m.id, m.map_id, m.label, m.nid, m.r, m.c, sqrt(p.costs[17]) FROM dp p JOIN met m ON m.id = p.id AND m.nid = p.nid WHERE p.i = 16)
+            {base.SQL_RANKED} {top2}""",
         "activation_map": f"""WITH {base.SQL_SCORED} SELECT c.map_id, c.nid, c.r, c.c, count(s.id) AS activations
             FROM codebook c LEFT JOIN scored s ON s.map_id = c.map_id AND s.nid = c.nid GROUP BY c.map_id, c.nid, c.r, c.c""",
         "error_maps": f"""WITH {_CELLS} SELECT c.map_id, c.nid, coalesce(n, 0)::bigint AS activations, round(coalesce((round_even(s * 1e5, 0) / 1e5), 0), 5) AS distance_sum,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import grid
 from ..operators.quality import quantization_error
 from ..operators.train import SomEstimator, SomModel, TemporalSomEstimator, reinforce, search_sizes
-from ..plans import checkpoint_dir
+from ..plans import checkpoint_dir, lookup_join, materialize
 from ..sources import read_table
 from . import base
 
@@ -34,15 +34,18 @@ def grid_kernels(spark, sf_dir):
 
 
 def recommended_sizes(spark, sf_dir):
-    n = base.samples(spark, sf_dir).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    n = base.deliveries(spark, sf_dir).select("id", "map_id").dropDuplicates(["id"]).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
     return n.select("map_id", "n", grid.vesanto_size_col(F.col("n")).alias("size"))
 
 
 def online_step(spark, sf_dir):
     """One online step on every map: its record of smallest id is presented, with rate 0.5
     and a Gaussian radius of 2."""
-    s = base.scored(spark, sf_dir).select("map_id", "id", "data", F.col("r").alias("br"), F.col("c").alias("bc"))
-    first = s.groupBy("map_id").agg(F.min_by(F.struct("data", "br", "bc"), "id").alias("s")).select("map_id", "s.*")
+    s = base.scored(spark, sf_dir).select("map_id", "id", F.col("r").alias("br"), F.col("c").alias("bc"))
+    first = s.groupBy("map_id").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in ("br", "bc")])
+    first = materialize(first, "first-records")  # a row per map
+    vectors = lookup_join(base.deliveries(spark, sf_dir).select("id", "data"), first.select("id"), ["id"]).dropDuplicates(["id"])
+    first = first.join(vectors, "id").drop("id")
     book = read_table(spark, sf_dir, "codebook").join(first, "map_id")
     g2 = (F.col("r") - F.col("br")) * (F.col("r") - F.col("br")) + (F.col("c") - F.col("bc")) * (F.col("c") - F.col("bc"))
     h = F.lit(0.5) * F.exp(-g2.cast("double") / 8.0)
@@ -53,7 +56,7 @@ def online_step(spark, sf_dir):
 def batch_epoch(spark, sf_dir):
     """One batch epoch on every map: kernel-weighted means of the node sums, radius 2. Samples
     are combined per node before anything is shuffled; then nodes meet nodes of their map."""
-    sums = base.scored(spark, sf_dir).groupBy("map_id", F.col("r").alias("br"), F.col("c").alias("bc")).agg(
+    sums = base.scored_vectors(spark, sf_dir).groupBy("map_id", F.col("r").alias("br"), F.col("c").alias("bc")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.get("data", F.lit(i))).alias(f"s{i}") for i in range(base.DIMS)])
     pairs = base.nodes(spark, sf_dir).join(sums, "map_id")
     g2 = (F.col("r") - F.col("br")) * (F.col("r") - F.col("br")) + (F.col("c") - F.col("bc")) * (F.col("c") - F.col("bc"))

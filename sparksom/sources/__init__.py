@@ -1,5 +1,5 @@
 """Sources and sinks."""
 from .index_files import read_index
-from .tables import read_table, records
+from .tables import read_table, records, records_in_place
 
-__all__ = ["read_index", "read_table", "records"]
+__all__ = ["read_index", "read_table", "records", "records_in_place"]

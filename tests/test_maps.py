@@ -3,12 +3,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparksom.functions import distances
 from sparksom.functions.features import FeatureExtractor, sample_entropy
 from sparksom.operators import quality, temporal, views
 from sparksom.operators.bmu import bmu_arrow, bmu_by_map, bmu_native
 from sparksom.operators.node_stats import heavy_keys, key_stats
 from sparksom.operators.sequences import with_previous
 from sparksom.plans import lookup_join
+from sparksom.sources import records_in_place
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +149,32 @@ def test_lookup_join_plans_agree(spark):
         results = [sorted(r["id"] for r in lookup_join(left, keys, ["k"], how, salt_by=s, max_broadcast_rows=n).collect())
                    for s, n in (("id", 100), ("id", 0), (None, 0))]
         assert results[0] == results[1] == results[2] == [i for i in range(50) if i % 7 and i % 3 != 1]
+
+
+def test_own_distances(spark):
+    rng = np.random.default_rng(4)
+    names = {1: "manhattan", 2: "cross_correlation", 3: "dtw", 4: None}
+    w = {m: rng.normal(size=(9, 6)) for m in names}
+    book = spark.createDataFrame([(m, i, v.tolist(), names[m]) for m in names for i, v in enumerate(w[m])], "map_id long, nid int, w array<double>, distance string")
+    x = [(i, 1 + i % 5, rng.normal(size=6)) for i in range(60)]  # map 5 has no codebook
+    rows = spark.createDataFrame([(i, m, v.tolist(), 1) for i, m, v in x], "id long, map_id long, data array<double>, dist int").drop("dist")
+    want = {}
+    for i, m, v in x:
+        if m in names:
+            d = distances.get(names[m] or "chebyshev").kernel(v[None], w[m])[0]
+            want[i] = tuple(np.argsort(d, kind="stable")[:2])
+    for most in (1_000, 0):
+        got = bmu_by_map(rows, "data", book, "map_id", "id", distance="chebyshev", max_nodes=most, keep=["id"])
+        assert got.columns == ["id", "nid", "dist", "nid2", "dist2"]
+        assert {r["id"]: (r["nid"], r["nid2"]) for r in got.collect()} == want
+
+
+def test_records_in_place(spark, tmp_path):
+    rows = [(i, i % 3, [float(i)] * 2) for i in range(50)] + [(7, 1, [7.0] * 2)] * 40 + [(9, 0, None)] + [(None, 1, [1.0])] * 3
+    df = spark.createDataFrame(rows, "id long, map_id long, data array<double>").where("id is null or id != 9 or data is not null")
+    df.repartition(3).write.parquet(f"{tmp_path}/classification_map.parquet")
+    got = records_in_place(spark, str(tmp_path), "data")
+    assert got.columns == ["id", "data"]
+    assert sorted((r["id"], tuple(r["data"])) for r in got.collect()) == [(i, (float(i),) * 2) for i in range(50)]
+    df.where("false").write.mode("overwrite").parquet(f"{tmp_path}/classification_map.parquet")
+    assert records_in_place(spark, str(tmp_path), "data").count() == 0
