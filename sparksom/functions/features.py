@@ -27,28 +27,31 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, a / np.where(b > 0, b, 1.0), 0.0)
 
 
+def sample_entropies(x: np.ndarray, m: int = 2, r: float | None = None) -> np.ndarray:
+    """-ln(A / B) of each row: of the pairs of starts whose templates of m (B) and m + 1 (A)
+    samples stay closer than r (0.2 standard deviations), each counted over the first
+    n - length starts. No B pair gives 0, no A pair infinity. All pairs of one distance
+    in time are compared at once, over all rows."""
+    rows, n = x.shape
+    tolerance = (0.2 * np.where(np.ptp(x, axis=1) > 0, x.std(1), 0.0) if r is None else np.full(rows, float(r)))[:, None]
+    counts = {m: np.zeros(rows, np.int64), m + 1: np.zeros(rows, np.int64)}
+    for lag in range(1, n - m):
+        apart = np.abs(x[:, lag:] - x[:, :-lag])
+        for length in counts:
+            pairs = n - length - lag  # starts whose partner is a start as well
+            if pairs > 0:
+                furthest = apart[:, :pairs].copy()
+                for k in range(1, length):
+                    np.maximum(furthest, apart[:, k:k + pairs], out=furthest)
+                counts[length] += (furthest < tolerance).sum(1)
+    a, b = counts[m + 1], counts[m]
+    found = -np.log(np.where(a > 0, a, 1) / np.where(b > 0, b, 1))
+    return np.where(b == 0, 0.0, np.where(a == 0, np.inf, found))
+
+
 def sample_entropy(x: np.ndarray, m: int = 2, r: float | None = None) -> float:
-    """-ln(A / B): of the pairs of starts whose templates of m (B) and m + 1 (A) samples
-    stay closer than r (0.2 standard deviations), each counted over the first
-    n - length starts. No B pair gives 0, no A pair infinity."""
-    tolerance = (0.2 * x.std() if np.ptp(x) else 0.0) if r is None else r
-    counts = []
-    for length in (m + 1, m):
-        starts = len(x) - length
-        if starts < 2:
-            counts.append(0)
-            continue
-        pairs = 0
-        for i in range(starts - 1):  # one template against all later ones at a time
-            apart = np.zeros(starts - i - 1)
-            for k in range(length):
-                np.maximum(apart, np.abs(x[i + 1 + k:starts + k] - x[i + k]), out=apart)
-            pairs += int((apart < tolerance).sum())
-        counts.append(pairs)
-    a, b = counts
-    if not b:
-        return 0.0
-    return float("inf") if not a else float(-np.log(a / b))
+    """:func:`sample_entropies` of one signal."""
+    return float(sample_entropies(np.asarray(x, float)[None], m, r)[0])
 
 
 def periodogram(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +63,11 @@ def periodogram(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
 def welch(x: np.ndarray, fs: float, nperseg: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Welch's estimate: half-overlapping Hann segments, mean removed, one-sided density."""
     n = min(nperseg, x.shape[-1])
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(1)
     step = max(1, n - n // 2)
     segments = [x[..., i:i + n] for i in range(0, x.shape[-1] - n + 1, step)]
-    power = np.mean([np.abs(np.fft.rfft((s - s.mean(-1, keepdims=True)) * window)) ** 2 for s in segments], axis=0)
+    constant = [np.ptp(s, axis=-1, keepdims=True) == 0 for s in segments]  # no rest of rounding
+    power = np.mean([np.abs(np.fft.rfft(np.where(c, 0.0, s - s.mean(-1, keepdims=True)) * window)) ** 2 for s, c in zip(segments, constant)], axis=0)
     power = power / (fs * (window ** 2).sum())
     power[..., 1:(-1 if n % 2 == 0 else None)] *= 2
     return np.fft.rfftfreq(n, 1.0 / fs), power
@@ -113,7 +117,7 @@ class FeatureExtractor:
         if f in STATISTICAL:
             return self._statistical(x)
         if f == "sample_entropy":
-            return {f: np.array([sample_entropy(row, self.m, self.r) for row in x])}
+            return {f: sample_entropies(x, self.m, self.r)}
         if f in COMPLEXITY:
             return self._hjorth(x)
         if f == "mfcc":
@@ -176,14 +180,18 @@ class FeatureExtractor:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                signals = [None if s is None else np.array(s, float) for s in batch.column(signal).to_pylist()]
-                good = [i for i, s in enumerate(signals) if s is not None and len(s) and np.isfinite(s).all()]
-                out = np.full((len(signals), len(names)), np.nan)
-                for length in {len(signals[i]) for i in good}:
-                    rows = [i for i in good if len(signals[i]) == length]
-                    out[rows] = self.matrix(np.stack([signals[i] for i in rows]))
-                null = np.ones(len(signals), bool)
-                null[good] = False
+                column = batch.column(signal)
+                size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+                start = np.cumsum(size) - size
+                out, null = np.full((len(size), len(names)), np.nan), np.ones(len(size), bool)
+                for length in np.unique(size[size > 0]):
+                    rows = np.flatnonzero(size == length)
+                    x = flat[start[rows][:, None] + np.arange(length)]
+                    finite = np.isfinite(x).all(1)
+                    if finite.any():
+                        out[rows[finite]] = self.matrix(x[finite])
+                        null[rows[finite]] = False
                 columns = [pa.array(np.ascontiguousarray(out[:, j]), mask=null) for j in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *names])
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans import materialize
+
 
 def valid_measure(column: str | Column) -> Column:
     """The value where it is finite and not negative, else null."""
@@ -40,10 +42,10 @@ def key_stats(df: DataFrame, keys: list[str], measure: str, time: str) -> DataFr
 def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     """The keys that hold at least ``share`` of all rows, with their count.
 
-    The total is the sum over the already aggregated keys, taken as a scalar subquery
-    on the same exchange; no row is shuffled for it a second time.
+    The counts, one row per key, are written once; the total is their sum, taken as a
+    scalar subquery, so no row is shuffled or counted a second time.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"))
+    counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records")), "key-counts")
     total = counts.select(F.sum("n_records").alias("total"))
     return counts.where(F.col("n_records") >= F.lit(share) * total.scalar())
 

@@ -6,6 +6,8 @@ row however long the table; applying any method is a projection, nothing is shuf
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,6 +49,84 @@ def per_sample(method: str, a: Column) -> Column:
     raise ValueError(f"not a per-sample method: {method!r}")
 
 
+#: Values of one column that one task sorts.
+SORTED_ROWS = 20_000
+
+
+def exact_quantiles(df: DataFrame, cells: list[Column], shares: tuple[float, ...], sorted_rows: int = SORTED_ROWS) -> list[list[float]]:
+    """Exact, linearly interpolated quantiles of each column, without sorting the table.
+
+    Every order statistic is enclosed by two approximate percentiles (mergeable sketches of
+    bounded size); a second pass counts the values up to and between them, and the
+    search goes on between them, some thousandth of the values, until at most ``sorted_rows``
+    are left, which one task sorts. Each pass sends one row per map task. Nulls don't
+    count; a column without values has NaN.
+    """
+    sizes = list(df.agg(*[F.count(c) for c in cells]).first())
+    places = {(i, q): (n - 1) * q for i, n in enumerate(sizes) if n for q in shares}
+    ranks = sorted({(i, int(k) + step) for (i, _), k in places.items() for step in (0, 1) if int(k) + step < sizes[i]})
+    # Of each rank: the open interval that has it, how many values lie below it, how many inside.
+    found: dict[tuple[int, int], float] = {}
+    open_ = {t: (None, None, 0, sizes[t[0]]) for t in ranks}
+
+    def inside(i: int, low: float | None, high: float | None) -> Column:
+        cell = cells[i]
+        both = [cell > F.lit(low)] * (low is not None) + [cell < F.lit(high)] * (high is not None)
+        return F.when(reduce(Column.__and__, both, F.lit(True)), cell)
+
+    def ask(expressions: list[Column]) -> list:
+        out = []
+        for start in range(0, len(expressions), 200):
+            out += list(df.agg(*[e.alias(f"e{j}") for j, e in enumerate(expressions[start:start + 200])]).first())
+        return out
+
+    while large := [t for t in open_ if open_[t][3] > sorted_rows]:
+        sketches = []
+        for i, k in large:
+            low, high, below, n = open_[i, k]
+            share = [min(1.0, max(0.0, (k - below) / n + d)) for d in (-5e-4, 5e-4)]
+            sketches.append(F.percentile_approx(inside(i, low, high), share, 10_000))
+        bounds = ask(sketches)
+        counts = ask([F.count(F.when(test, 1)) for (i, k), (a, b) in zip(large, bounds) for cell in (inside(i, *open_[i, k][:2]),)
+                      for test in (cell < F.lit(a), cell == F.lit(a), (cell > F.lit(a)) & (cell < F.lit(b)), cell == F.lit(b))])
+        for j, (t, (a, b)) in enumerate(zip(large, bounds)):
+            low, high, below, n = open_[t]
+            less, at_a, between, at_b = counts[4 * j: 4 * j + 4]
+            at_b, rank = at_b if a != b else 0, t[1] - below
+            if less <= rank < less + at_a:
+                found[t] = a
+            elif less + at_a + between <= rank < less + at_a + between + at_b:
+                found[t] = b
+            elif less + at_a <= rank < less + at_a + between:
+                open_[t] = (a, b, below + less + at_a, between)
+            elif rank < less:
+                open_[t] = (low, a, below, less)
+            else:
+                upto = less + at_a + between + at_b
+                open_[t] = (b, high, below + upto, n - upto)
+            if t in found:
+                del open_[t]
+    few: dict[tuple, list[int]] = {}
+    for (i, k), (low, high, below, _) in open_.items():
+        few.setdefault((i, low, high, below), []).append(k)
+
+    def ranked(ks: list[int], below: int):
+        return lambda a: F.array(*[F.get(a, F.lit(k - below)) for k in ks])
+
+    ordered = [let(F.array_sort(F.collect_list(inside(i, low, high))), ranked(ks, below)) for (i, low, high, below), ks in few.items()]
+    for (i, *_), ks, values in zip(few, few.values(), ask(ordered)):
+        found |= {(i, k): v for k, v in zip(ks, values)}
+
+    def quantile(i: int, q: float) -> float:
+        if not sizes[i]:
+            return float("nan")
+        k = int(places[i, q])
+        low, high = found[i, k], found.get((i, k + 1), found[i, k])
+        return low + (high - low) * (places[i, q] - k)
+
+    return [[quantile(i, q) for q in shares] for i in range(len(cells))]
+
+
 class Normalizer:
     """``fit`` learns what per-feature methods need; ``apply`` normalises an array column.
 
@@ -60,6 +140,14 @@ class Normalizer:
         self.method = method
         self.params = dict(params or {})
 
+    @staticmethod
+    def params_of(numbers: dict) -> dict[str, list[float]]:
+        """Parameters from named statistics: mean and std, median and iqr, or lo and rng."""
+        for centre, scale in (("mean", "std"), ("median", "iqr"), ("lo", "rng")):
+            if centre in numbers:
+                return {"centre": list(numbers[centre]), "scale": list(numbers[scale])}
+        return {}
+
     def fit(self, df: DataFrame, features: str) -> "Normalizer":
         if self.method not in FEATURE_METHODS:
             return self
@@ -68,8 +156,7 @@ class Normalizer:
             raise ValueError("no samples to fit")
         cells = [F.get(features, F.lit(i)) for i in range(first[0])]
         if self.method == "robust":
-            # Exact percentiles by counting; one pass, one row out.
-            rows = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(cells)]).first()
+            rows = exact_quantiles(df, cells, (0.25, 0.5, 0.75))
             self.params = {"centre": [q[1] for q in rows], "scale": [(q[2] - q[0]) or 1.0 for q in rows]}
         else:
             zscore = self.method in ("zscore", "fwn")

@@ -6,6 +6,8 @@ position (see :mod:`.sequences`) by plain aggregation. Sequences never run into
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .sequences import with_previous
@@ -65,18 +67,29 @@ def dwell_times(stepped: DataFrame, by: list[str]) -> DataFrame:
     ).withColumn("mean_dwell", F.col("n_samples") / F.col("n_stays"))
 
 
+def summaries(stepped: DataFrame, by: list[str], top_k: int = 3) -> DataFrame:
+    """One row per group: the path metrics over all its sequences, its number of different
+    nodes, and its ``top_k`` steps as text, ``from>to:count`` from the most frequent on."""
+    keyed = stepped if by else stepped.withColumn("__all", F.lit(1))
+    keys = by or ["__all"]
+    unique = keyed.select(*keys, "nid").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"))
+    top = most_frequent_transitions(transitions(keyed, keys), keys, top_k)
+    step = F.concat_ws("", F.col("from_nid").cast("string"), F.lit(">"), F.col("to_nid").cast("string"), F.lit(":"), F.col("cnt").cast("string"))
+    steps = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", step.alias("step")))).alias("steps"))
+    steps = steps.select(*keys, F.array_join(F.transform("steps", lambda t: t["step"]), ";").alias("top_steps"))
+    joined = path_metrics(keyed, keys).join(unique, keys).join(steps, keys, "left")
+    return joined.withColumn("top_steps", F.coalesce("top_steps", F.lit(""))).drop("__all")
+
+
 def summary(stepped: DataFrame, top_k: int = 3) -> str:
-    """The metrics of all sequences together as text."""
+    """The metrics of all sequences together as text, also logged."""
     import logging
 
-    m = path_metrics(stepped, []).first()
-    unique = stepped.select("nid").distinct().count()
-    top = most_frequent_transitions(transitions(stepped, []), [], top_k).orderBy("rank").collect()
-    lines = [
-        f"samples              : {m['n_samples']}", f"unique nodes         : {unique}", f"stability            : {m['stability']:.4f}",
+    m = summaries(stepped, [], top_k).first()
+    steps = [re.sub("(.*)>(.*):(.*)", r"  \1 -> \2 (\3 times)", t) for t in m["top_steps"].split(";") if t]
+    text = "\n".join([
+        f"samples              : {m['n_samples']}", f"unique nodes         : {m['n_nodes']}", f"stability            : {m['stability']:.4f}",
         f"mean path length     : {m['mean_path_length']:.4f}", f"mean chebyshev jump  : {m['mean_chebyshev_jump']:.4f}",
-        f"temporal coherence   : {m['temporal_coherence']:.4f}",
-        *[f"  {t['from_nid']} -> {t['to_nid']} : {t['cnt']}" for t in top]]
-    text = "\n".join(lines)
+        f"temporal coherence   : {m['temporal_coherence']:.4f}", "most frequent steps  :", *steps])
     logging.getLogger(__name__).info(text)
     return text

@@ -17,30 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import distances
-from ..plans import materialize
+from ..plans import materialize, release
 from . import grid
-from .bmu import block_scores, bmu_arrow, top_two
+from .bmu import MAX_NODES, block_scores, bmu_arrow, top_two
 from .normalize import Normalizer
 
 WEIGHTS = ("random", "random_negative", "sample", "PCA")
 
 
-def number_rows(df: DataFrame, order: str, out: str = "row") -> DataFrame:
-    """Consecutive row numbers from 0 in the total order of ``order``.
+def number_rows(df: DataFrame, *order: str, out: str = "row") -> DataFrame:
+    """The columns ``order`` with consecutive row numbers from 0 in their total order.
 
     Rows are sorted by range, so a partition holds a stretch of the order; the numbers
-    start at the count of rows in the partitions before. No window spans the table.
+    start at the count of rows in the partitions before. No window spans the table, and
+    only the columns of the order, which should be narrow, are sorted and written.
     """
-    ordered = df.sort(order).withColumn("__p", F.spark_partition_id())
-    kept = materialize(ordered, "rows")
+    kept = materialize(df.select(*order).sort(*order).withColumn("__p", F.spark_partition_id()), "rows")
     sizes = sorted((r["__p"], r["count"]) for r in kept.groupBy("__p").count().collect())  # a row per partition
-    starts, total = {}, 0
+    starts, total = [], 0
     for p, n in sizes:
-        starts[p], total = total, total + n
-    mapping = F.create_map(*[F.lit(v) for kv in starts.items() for v in kv]) if starts else None
-    base = F.element_at(mapping, F.col("__p")) if mapping is not None else F.lit(0)
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    return kept.withColumn(out, (base + inside - 1).cast("bigint")).drop("__p")
+        starts.append((p, total))
+        total += n
+    firsts = df.sparkSession.createDataFrame(starts, "__p int, __first bigint")
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    numbered = kept.join(F.broadcast(firsts), "__p").withColumn(out, (F.col("__first") + inside - 1).cast("bigint")).drop("__p", "__first")
+    numbered._sparksom_path = kept._sparksom_path  # for release()
+    return numbered
 
 
 class SomModel:
@@ -85,12 +87,25 @@ class SomModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SomModel":
-        """Reads a saved model (several entries: the last one counts). A missing path is an AnalysisException."""
+        """Reads a saved model, of our layout or of the one that names the side ``map_size`` and
+        the normalisation's numbers ``norm_params`` and has the weights by row and column. Of
+        several entries the last counts, of recurrent maps' the first. A missing path is an
+        AnalysisException."""
         text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-        entry = json.loads(text)["model"][-1]
-        weights, normal = entry.pop("weights"), entry.pop("normalizer")
-        kind = TemporalSomModel if "context_weight" in entry else SomModel
-        return kind(entry, np.array(weights), Normalizer(normal["method"], normal["params"]))
+        entries = json.loads(text)["model"]
+        temporal = "context_weight" in entries[0]
+        entry = dict(entries[0] if temporal else entries[-1])
+        weights = np.array(entry.pop("weights"), float)
+        if "map_size" in entry:
+            entry["size"] = entry.pop("map_size")
+            numbers = entry.pop("norm_params", {})
+            entry = {"dtw_band": None, "lr_decay": "linear", "normalization": "none", "weights_init": "random", "random_seed": None,
+                     "initial_neighbourhood": entry["neighbourhood"], **({"presentation": "sequential", "context_influence": 0.5} if temporal else {}), **entry}
+            normalizer = Normalizer(entry["normalization"], Normalizer.params_of(numbers))
+        else:
+            normal = entry.pop("normalizer")
+            normalizer = Normalizer(normal["method"], normal["params"])
+        return (TemporalSomModel if temporal else SomModel)(entry, weights.reshape(entry["size"] ** 2, -1), normalizer)
 
 
 def with_positions(scored: DataFrame, size: int) -> DataFrame:
@@ -99,6 +114,35 @@ def with_positions(scored: DataFrame, size: int) -> DataFrame:
     return scored.withColumns({"r": row("nid"), "c": F.col("nid") % size, "r2": row("nid2"), "c2": F.col("nid2") % size})
 
 
+class _Rows:
+    """Samples (``id, x``) by their number in the order of ``id``; equal ids by their vector's hash."""
+
+    def __init__(self, data: DataFrame):
+        self.data = data
+        self.numbered: DataFrame | None = None
+
+    def fetch(self, drawn: np.ndarray) -> np.ndarray:
+        """The samples of the drawn row numbers, in that order; only these reach the driver.
+
+        Ids and hashes are numbered; a vector is read again for the drawn ones alone.
+        """
+        keyed = self.data.select("id", F.xxhash64("x").alias("h"), "x")
+        if self.numbered is None:
+            self.numbered = number_rows(keyed, "id", "h")
+        wanted = self.data.sparkSession.createDataFrame([(int(i),) for i in np.unique(drawn)], "row bigint")
+        places = materialize(self.numbered.join(F.broadcast(wanted), "row"), "drawn-rows")  # at most as many as drawn
+        names = F.broadcast(places.select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct())
+        rows = keyed.join(names, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).drop("id2", "h2")
+        found = {(r["id"], r["h"]): r["x"] for r in rows.dropDuplicates(["id", "h"]).collect()}
+        at = {r["row"]: found[r["id"], r["h"]] for r in places.collect()}
+        release(places)
+        return np.array([at[int(i)] for i in drawn], float)
+
+    def release(self) -> None:
+        release(self.numbered)
+        self.numbered = None
+
+
 class SomEstimator:
     """Parameters of a map; ``fit`` trains it on an array column and returns a :class:`SomModel`.
 
@@ -149,7 +193,7 @@ class SomEstimator:
         p["size"] = p["size"] or grid.vesanto_size(total)
         p["neighbourhood"] = p["initial_neighbourhood"] or p["size"]
         rng = np.random.default_rng(p["random_seed"])
-        rows = number_rows(data, "id")
+        rows = _Rows(data)
         weights = self._initial(rows, p, rng)
         model = self._model(p, weights, normalizer, rng)
         if self.algorithm == "batch":
@@ -157,11 +201,12 @@ class SomEstimator:
         else:
             final = 1 if p["use_decay"] else 0
             model.weights = _present(rows, model, p["initial_lr"], p["neighbourhood"], final)
+        rows.release()
         return model
 
-    def _initial(self, rows: DataFrame, p: dict, rng: np.random.Generator) -> np.ndarray:
+    def _initial(self, rows: _Rows, p: dict, rng: np.random.Generator) -> np.ndarray:
         k2, n = p["size"] ** 2, p["num_data"]
-        d = rows.select(F.size("x")).first()[0]
+        d = rows.data.select(F.size("x")).first()[0]
         p["input_data_dimension"] = d
         if p["weights_init"] == "random":
             return rng.random(d * k2).reshape(k2, d)
@@ -169,16 +214,8 @@ class SomEstimator:
             return rng.uniform(-1, 1, d * k2).reshape(k2, d)
         if p["weights_init"] == "sample":
             drawn = rng.choice(n, size=k2, replace=True)
-            return _fetch(rows, drawn)
-        return pca_weights(rows, "x", d, p["size"])
-
-
-def _fetch(rows: DataFrame, drawn: np.ndarray) -> np.ndarray:
-    """The samples of the drawn row numbers, in that order; only these reach the driver."""
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame([(int(i),) for i in np.unique(drawn)], "row bigint")
-    found = {r["row"]: r["x"] for r in rows.join(F.broadcast(wanted), "row").collect()}
-    return np.array([found[int(i)] for i in drawn], float)
+            return rows.fetch(drawn)
+        return pca_weights(rows.data, "x", d, p["size"])
 
 
 def pca_weights(rows: DataFrame, x: str, d: int, size: int) -> np.ndarray:
@@ -209,7 +246,7 @@ def pca_weights(rows: DataFrame, x: str, d: int, size: int) -> np.ndarray:
     return (steps[:, None, None] * axes[0] + steps[None, :, None] * axes[1]).reshape(size * size, d)
 
 
-def _present(rows: DataFrame, model: SomModel, rate: float, sigma: float, final: float, winner=None) -> np.ndarray:
+def _present(rows: _Rows, model: SomModel, rate: float, sigma: float, final: float, winner=None) -> np.ndarray:
     """One online phase: the fold over the scheduled samples."""
     p, n = model.params, model.params["num_data"]
     period = p["period"]
@@ -217,7 +254,7 @@ def _present(rows: DataFrame, model: SomModel, rate: float, sigma: float, final:
         drawn = np.arange(period) % n
     else:
         drawn = model.rng.integers(0, n, size=period)
-    return fold_online(_fetch(rows, drawn), model, rate, sigma, final, winner)
+    return fold_online(rows.fetch(drawn), model, rate, sigma, final, winner)
 
 
 def fold_online(samples: np.ndarray, model: SomModel, rate: float, sigma: float, final: float, winner=None) -> np.ndarray:
@@ -248,8 +285,8 @@ def reinforce(model: SomModel, df: DataFrame, reinforcement: int = 0, extension:
     if not reinforcement:
         return model
     data = df.select(F.col(order).alias("id"), model.normalizer.apply(F.col(features).cast("array<double>")).alias("x"))
-    rows = number_rows(data, "id")
-    after = type(model)({**model.params, "num_data": rows.count()}, model.weights, model.normalizer, model.rng)
+    rows = _Rows(data)
+    after = type(model)({**model.params, "num_data": data.count()}, model.weights, model.normalizer, model.rng)
     rate, sigma = model.params["initial_lr"], model.params["neighbourhood"]
     winner = after.winner()  # a recurrent map's context starts anew once, not per round
     for _ in range(reinforcement):
@@ -257,6 +294,7 @@ def reinforce(model: SomModel, df: DataFrame, reinforcement: int = 0, extension:
         rate *= compression
         after.weights = _present(rows, after, rate, sigma, 1, winner)
         sigma = 1
+    rows.release()
     after.params["num_data"] = model.params["num_data"]
     return after
 
@@ -313,19 +351,20 @@ def context_winner(kernel, alpha: float, beta: float, state: dict):
     """Winner by ``(1 - beta) * signal + beta * distance to the context``; the context then
     moves to the winner's weights, ``alpha`` of it staying. ``state`` holds it."""
     def winner(w: np.ndarray, x: np.ndarray) -> int:
-        return context_scores(kernel, alpha, beta, state, w, x)[0]
+        return context_step(kernel(x[None, :], w)[0], alpha, beta, state, w)[0]
 
     return winner
 
 
-def context_scores(kernel, alpha, beta, state, w, x) -> tuple[int, float, int, float]:
-    scores = kernel(x[None, :], w)[0]
-    context = state.get("context")
+def context_step(signal: np.ndarray, alpha: float, beta: float, state: dict, w: np.ndarray) -> tuple:
+    """One step: both best nodes by the combined distance, each with its signal and its
+    combined distance, as ``node, signal, combined`` twice. Moves the context."""
+    context, scores = state.get("context"), signal
     if context is not None and beta > 0:
-        scores = (1.0 - beta) * scores + beta * np.sqrt(((w - context) ** 2).sum(1))
+        scores = (1.0 - beta) * signal + beta * np.sqrt(((w - context) ** 2).sum(1))
     one, d1, two, d2 = (v[0] for v in top_two(scores[None, :]))
     state["context"] = w[one].copy() if context is None else alpha * context + (1.0 - alpha) * w[one]
-    return int(one), float(d1), int(two), float(d2)
+    return int(one), float(signal[one]), float(d1), int(two), float(signal[two]), float(d2)
 
 
 class TemporalSomModel(SomModel):
@@ -338,7 +377,8 @@ class TemporalSomModel(SomModel):
 
     def transform(self, df: DataFrame, features: str = "features", sequence: str = "seq_id", order: str = "ord",
                   initial_context: list[float] | None = None) -> DataFrame:
-        """As the plain map's, with combined distances, sequence by sequence.
+        """As the plain map's, sequence by sequence: the best nodes are those of the combined
+        distance (``combined``, ``combined2``), ``dist`` and ``dist2`` their signal distances.
 
         A sequence is an ordered recurrence, so it is scored in one task, streaming through
         it in batches: the memory a task needs doesn't depend on a sequence's length.
@@ -348,27 +388,69 @@ class TemporalSomModel(SomModel):
         return with_positions(scored, self.size)
 
 
-def temporal_bmu(df: DataFrame, features: str, weights: np.ndarray, params: dict, sequence: str, order: str,
-                 initial_context: list[float] | None = None) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", nid int, dist double, nid2 int, dist2 double"
-    names = [*df.columns, "nid", "dist", "nid2", "dist2"]
+CONTEXT_SCHEMA = "nid int, dist double, combined double, nid2 int, dist2 double, combined2 double"
+
+
+def temporal_bmu(df: DataFrame, features: str, weights: np.ndarray | DataFrame, params: dict, sequence: str, order: str,
+                 initial_context: list[float] | None = None, by: str | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+    """``df`` with :data:`CONTEXT_SCHEMA`, a context per sequence.
+
+    ``weights`` is one map's array, or with ``by`` a codebook of many (``by, nid, w``, nodes
+    numbered from 0), of which a sequence uses one. Rows of one sequence are one task's, in
+    batches; a codebook of more than ``max_nodes`` nodes isn't broadcast, but meets the
+    sequences of its maps, which are then in memory as a whole. A null sample has null
+    results and leaves the context; so have the rows of a map without nodes.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + CONTEXT_SCHEMA
+    kinds = (pa.int32(), pa.float64(), pa.float64()) * 2
+    names = [*df.columns, *(part.split()[0] for part in CONTEXT_SCHEMA.split(", "))]
     alpha, beta = params["context_weight"], params["context_influence"]
     distance, band = params["distance"], params.get("dtw_band")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches, books: dict) -> Iterator[pa.RecordBatch]:
         kernel = distances.get(distance, band).kernel
         current, state = object(), {}
         for batch in batches:
-            out = []
-            for seq, x in zip(batch.column(sequence).to_pylist(), batch.column(features).to_pylist()):
-                if seq != current:
-                    current, state = seq, {} if initial_context is None else {"context": np.array(initial_context, float)}
-                out.append((None,) * 4 if x is None else context_scores(kernel, alpha, beta, state, weights, np.array(x, float)))
-            types = (pa.int32(), pa.float64(), pa.int32(), pa.float64())
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*out) if out else ((),) * 4, types)]
+            out: list[tuple] = [(None,) * 6] * batch.num_rows
+            keys = batch.column(by).to_pylist() if by else [None] * batch.num_rows
+            sequences = batch.column(sequence).to_pylist()
+            rows = np.flatnonzero(np.asarray(batch.column(features).is_valid()))
+            x = batch.column(features).drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+            at = 0
+            while at < len(rows):  # stretches of rows with the same weights
+                key, end = keys[rows[at]], at + 1
+                while end < len(rows) and keys[rows[end]] == key:
+                    end += 1
+                w = books.get(key)
+                for start, signals in block_scores(kernel, x[at:end], w) if w is not None else ():
+                    for i, signal in zip(rows[at + start:], signals):
+                        if sequences[i] != current:
+                            current, state = sequences[i], {} if initial_context is None else {"context": np.array(initial_context, float)}
+                        out[i] = context_step(signal, alpha, beta, state, w)
+                at = end
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*out) if out else ((),) * 6, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
 
-    return df.repartition(sequence).sortWithinPartitions(sequence, order).mapInArrow(run, schema)
+    def books_of(rows) -> dict:
+        found: dict = {}
+        for key, nid, w in rows:
+            found.setdefault(key, []).append((nid, w))
+        return {k: np.array([w for _, w in sorted(v)], float) for k, v in found.items()}
+
+    if isinstance(weights, DataFrame):
+        nodes = weights.select(by, "nid", "w")
+        if nodes.count() > max_nodes:
+            used = df.select(F.col(sequence).alias("__seq"), F.col(by).alias("__by")).distinct().join(nodes.withColumnRenamed(by, "__by"), "__by")
+
+            def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+                books = books_of(zip(*(right[c].to_pylist() for c in ("__by", "nid", "w"))))
+                return pa.Table.from_batches(score(left.sort_by(order).combine_chunks().to_batches(), books))
+
+            return df.groupBy(sequence).cogroup(used.groupBy("__seq")).applyInArrow(meet, schema)
+        weights = books_of(nodes.collect())
+    shared = df.sparkSession.sparkContext.broadcast(weights if by else {None: weights})
+    placed = df.repartition(sequence).sortWithinPartitions(sequence, order)
+    return placed.mapInArrow(lambda batches: score(batches, shared.value), schema)
 
 
 class TemporalSomEstimator(SomEstimator):
@@ -378,7 +460,7 @@ class TemporalSomEstimator(SomEstimator):
     def __init__(self, context_weight: float = 0.5, context_influence: float = 0.5, **params):
         for name, value in (("context_weight", context_weight), ("context_influence", context_influence)):
             if not 0 <= value <= 1:
-                raise ValueError(f"{name} must lie between 0 and 1")
+                raise AssertionError(f"{name} must lie between 0 and 1")
         super().__init__(**{**params, "presentation": "sequential"})
         self.params.update(context_weight=context_weight, context_influence=context_influence)
 

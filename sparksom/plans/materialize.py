@@ -52,10 +52,11 @@ def release(table: DataFrame | None) -> None:
     """Deletes a table that :func:`materialize` wrote and no plan needs any more."""
     path = getattr(table, "_sparksom_path", None)
     if path and path in _written:
-        _delete(_written.pop(path), path)
+        delete(_written.pop(path), path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -65,7 +66,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _release_all() -> None:
     for path, spark in list(_written.items()):
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:
             pass
     _written.clear()

@@ -1,12 +1,15 @@
 """Normalisation, sequences of nodes, signal features, index series."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.features import BAND_POWERS, COMPLEXITY, SPECTRAL, STATISTICAL, FeatureExtractor
 from ..operators import quality, temporal, views
 from ..operators.normalize import Normalizer, assemble, per_sample
-from ..sources import read_table
+from ..plans import checkpoint_dir, delete, materialize
+from ..sources import append_side_table, read_index, read_table, write_index
 from . import base
 
 MAP, SEQ = ["map_id"], ["map_id", "seq_id"]
@@ -74,6 +77,25 @@ def dwell_map(spark, sf_dir):
     return views.dwell_map(temporal.dwell_times(_steps(spark, sf_dir), MAP), base.nodes(spark, sf_dir), MAP).withColumn("mean_dwell", F.round("mean_dwell", 6))
 
 
+def map_summary(spark, sf_dir):
+    """The summary of every map's sequences."""
+    m = temporal.summaries(_steps(spark, sf_dir), MAP)
+    return m.select("map_id", "n_samples", "n_nodes", "top_steps", *[F.round(c, 6).alias(c) for c in ("stability", "mean_path_length", "mean_chebyshev_jump", "temporal_coherence")])
+
+
+def dense_transitions(spark, sf_dir):
+    """The whole transition matrix of every map, as plots need it."""
+    matrix = temporal.dense_transitions(temporal.transitions(_steps(spark, sf_dir), MAP), base.nodes(spark, sf_dir), MAP)
+    return matrix.withColumn("prob", F.round("prob", 6))
+
+
+def side_table(spark, sf_dir):
+    """Placed records with their recording's columns."""
+    rows = base.placed(spark, sf_dir, "seq_id", "ord").select("id", "map_id", "seq_id", "nid")
+    side = read_table(spark, sf_dir, "recordings", "seq_id", "map_id", "station", "period_s", "n_expected").where("seq_id is not null")
+    return append_side_table(rows, side, ["seq_id"], salt_by="id")
+
+
 def rank_correlation(spark, sf_dir):
     """Spearman correlation of each step's two flat node numbers, per map."""
     pairs = _steps(spark, sf_dir).where("prev_nid is not null")
@@ -108,6 +130,19 @@ def rolling_index(spark, sf_dir):
     return rows.select("index_name", "index_year", "index_month", F.round(F.avg("index_value").over(w), 6).alias("rolling_mean"))
 
 
+def index_files(spark, sf_dir):
+    """Every monthly series written as an index file and read again."""
+    series = read_table(spark, sf_dir, "climate_index")
+    out, folder = None, f"{checkpoint_dir(spark)}/sparksom/index-{uuid.uuid4().hex}"
+    for k, (name,) in enumerate(sorted(series.select("index_name").where("index_name is not null").distinct().collect())):  # a few series
+        write_index(series.where(F.col("index_name") == name), f"{folder}/{k}")
+        read = read_index(spark, f"{folder}/{k}").select(F.lit(name).alias("index_name"), "index_year", "index_month", "index_value")
+        out = read if out is None else out.unionByName(read)
+    kept = materialize(out if out is not None else series.limit(0), "index-rows")
+    delete(spark, folder)
+    return kept
+
+
 def index_ranks(spark, sf_dir):
     """Rank of each series within a month, equal values sharing the smallest rank."""
     rows = read_table(spark, sf_dir, "climate_index").where((F.col("index_value").isNotNull()) & (F.col("index_value") != MISSING))
@@ -124,7 +159,7 @@ FEATURES = {
 def queries() -> dict:
     norms = {f"norm_{m}": _feature_norm(m) for m in ("zscore", "fwn", "robust", "01scale")}
     norms |= {f"norm_{m}": _sample_norm(m) for m in ("zscore_sample", "robust_sample", "minmax_sample", "l2", "euclidean")}
-    plain = (norm_none, trajectory, trajectory_view, transitions, path_metrics, top_transitions, dwell_times, dwell_map, rank_correlation, rolling_index, index_ranks)
+    plain = (norm_none, map_summary, dense_transitions, side_table, index_files, trajectory, trajectory_view, transitions, path_metrics, top_transitions, dwell_times, dwell_map, rank_correlation, rolling_index, index_ranks)
     return {**norms, **{f.__name__: f for f in plain}, **FEATURES}
 
 
@@ -158,8 +193,12 @@ _PSD = _WINDOWS + f""",
 dft AS (SELECT p.window_id, p.n, k, sum(v * cos(2 * pi() * k * (i - 1) / p.n)) AS re, sum(v * sin(2 * pi() * k * (i - 1) / p.n)) AS im
   FROM pts p, range(0, 2049) t(k) WHERE k <= p.n // 2 GROUP BY p.window_id, p.n, k),
 psd AS (SELECT window_id, n, k, k * (1.0::double / (n * (1.0::double / {RATE}::double))) AS f, (re * re + im * im) / n AS p FROM dft),
-trap AS (SELECT window_id, k, f, p, lead(f) OVER w AS f2, lead(p) OVER w AS p2, sum(p) OVER (PARTITION BY window_id ORDER BY k) AS cum,
-  sum(p) OVER (PARTITION BY window_id) AS total FROM psd WINDOW w AS (PARTITION BY window_id ORDER BY k))"""
+""" + (_TRAP := """trap AS (SELECT window_id, k, f, p, lead(f) OVER w AS f2, lead(p) OVER w AS p2, sum(p) OVER (PARTITION BY window_id ORDER BY k) AS cum,
+  sum(p) OVER (PARTITION BY window_id) AS total FROM psd WINDOW w AS (PARTITION BY window_id ORDER BY k))""")
+_SPECTRAL_AGG = """agg AS (SELECT window_id, coalesce(sum((f2 - f) * (p + p2) / 2), 0) AS spectral_power, arg_max(f, (p, -k)) AS dominant_frequency,
+  CASE WHEN any_value(total) = 0 THEN 0 ELSE -sum(p / nullif(total, 0) * ln(p / nullif(total, 0) + 1e-12)) END AS spectral_entropy,
+  coalesce(sum(f * p) / nullif(any_value(total), 0), 0) AS spectral_centroid,
+  min(f) FILTER (cum >= 0.85::double * total) AS spectral_rolloff FROM trap GROUP BY window_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -187,6 +226,32 @@ def oracle_sql() -> dict[str, str]:
             round(coalesce(avg(greatest(abs(r - pr), abs(c - pc))) FILTER (pn IS NOT NULL), 0.0), 6) AS mean_chebyshev_jump,
             round(coalesce(avg((greatest(abs(r - pr), abs(c - pc)) <= 1)::int) FILTER (pn IS NOT NULL), 1.0), 6) AS temporal_coherence
             FROM steps GROUP BY map_id, seq_id""",
+        "map_summary": f"""WITH {_STEPS}, k AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY cnt DESC, from_nid, to_nid) AS rank FROM tr),
+            top AS (SELECT map_id, string_agg(from_nid || '>' || to_nid || ':' || cnt, ';' ORDER BY rank) AS top_steps FROM k WHERE rank <= 3 GROUP BY map_id)
+            SELECT s.map_id, count(*) AS n_samples, count(DISTINCT nid) AS n_nodes, coalesce(any_value(top_steps), '') AS top_steps,
+            round(coalesce(avg((nid = pn)::int), 1.0), 6) AS stability, round(coalesce(avg(sqrt((r - pr) ** 2 + (c - pc) ** 2)), 0.0), 6) AS mean_path_length,
+            round(coalesce(avg(greatest(abs(r - pr), abs(c - pc))) FILTER (pn IS NOT NULL), 0.0), 6) AS mean_chebyshev_jump,
+            round(coalesce(avg((greatest(abs(r - pr), abs(c - pc)) <= 1)::int) FILTER (pn IS NOT NULL), 1.0), 6) AS temporal_coherence
+            FROM steps s LEFT JOIN top ON top.map_id = s.map_id GROUP BY s.map_id""",
+        "dense_transitions": f"""WITH {_STEPS} SELECT a.map_id, a.nid AS from_nid, b.nid AS to_nid, coalesce(cnt, 0)::bigint AS cnt,
+            round(coalesce(cnt / sum(cnt) OVER (PARTITION BY a.map_id, a.nid), 0), 6) AS prob
+            FROM codebook a JOIN codebook b ON a.map_id = b.map_id LEFT JOIN tr ON tr.map_id = a.map_id AND tr.from_nid = a.nid AND tr.to_nid = b.nid""",
+        "side_table": f"""WITH {base.SQL_PLACED}, side AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY map_id NULLS FIRST, station NULLS FIRST,
+              period_s NULLS FIRST, n_expected NULLS FIRST) AS k FROM recordings WHERE seq_id IS NOT NULL)
+            SELECT p.id, p.map_id, p.seq_id, p.nid, s.map_id AS map_id_side, station, period_s, n_expected
+            FROM placed p LEFT JOIN side s ON s.seq_id = p.seq_id AND k = 1""",
+        "index_files": """SELECT index_name, index_year, index_month, round(index_value, 4) AS index_value FROM climate_index
+            WHERE index_name IS NOT NULL AND index_year IS NOT NULL AND index_month IS NOT NULL AND index_value IS NOT NULL""",
+        "feat_welch": f"""WITH {_WINDOWS},
+            mean AS (SELECT window_id, CASE WHEN min(v) = max(v) THEN min(v) ELSE avg(v) END AS m FROM pts GROUP BY window_id),
+            hann AS (SELECT p.window_id, n, i, CASE WHEN n > 1 THEN 0.5::double - 0.5::double * cos(2 * pi() * (i - 1) / n) ELSE 1.0 END AS h, v - m AS v FROM pts p JOIN mean USING (window_id)),
+            scale AS (SELECT window_id, sum(h * h) AS w2 FROM hann GROUP BY window_id),
+            dft AS (SELECT p.window_id, p.n, k, sum(h * v * cos(2 * pi() * k * (i - 1) / p.n)) AS re, sum(h * v * sin(2 * pi() * k * (i - 1) / p.n)) AS im
+              FROM hann p, range(0, 2049) t(k) WHERE k <= p.n // 2 GROUP BY p.window_id, p.n, k),
+            psd AS (SELECT window_id, n, k, k * (1.0::double / (n * (1.0::double / {RATE}::double))) AS f,
+              CASE WHEN k > 0 AND (n % 2 = 1 OR k < n // 2) THEN 2 ELSE 1 END * (re * re + im * im) / ({RATE}::double * w2) AS p FROM dft JOIN scale USING (window_id)),
+            {_TRAP}, {_SPECTRAL_AGG}
+            {every.format(cols=", ".join(f"round({c}::double, 6) AS {c}" for c in SPECTRAL))}""",
         "top_transitions": f"""WITH {_STEPS}, k AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY cnt DESC, from_nid, to_nid)::int AS rank FROM tr)
             SELECT map_id, rank, from_nid, to_nid, cnt FROM k WHERE rank <= 10""",
         "dwell_times": f"WITH {_DWELL} SELECT map_id, nid, n_samples, n_stays, round(n_samples / n_stays, 6) AS mean_dwell FROM dwell",
@@ -225,11 +290,7 @@ def oracle_sql() -> dict[str, str]:
             cnt AS (SELECT window_id, count(*) FILTER (d2 < tol) AS b, count(*) FILTER (j <= n - 3 AND d2 < tol AND d3 < tol) AS a FROM cand GROUP BY window_id),
             agg AS (SELECT g.window_id, CASE WHEN coalesce(b, 0) = 0 THEN 0 WHEN a = 0 THEN NULL ELSE -ln(a::double / b) END AS e FROM good g LEFT JOIN cnt USING (window_id))
             {every.format(cols="round(e, 6) AS sample_entropy")}""",
-        "feat_spectral": f"""WITH {_PSD},
-            agg AS (SELECT window_id, coalesce(sum((f2 - f) * (p + p2) / 2), 0) AS spectral_power, arg_max(f, (p, -k)) AS dominant_frequency,
-              CASE WHEN any_value(total) = 0 THEN 0 ELSE -sum(p / nullif(total, 0) * ln(p / nullif(total, 0) + 1e-12)) END AS spectral_entropy,
-              coalesce(sum(f * p) / nullif(any_value(total), 0), 0) AS spectral_centroid,
-              min(f) FILTER (cum >= 0.85::double * total) AS spectral_rolloff FROM trap GROUP BY window_id)
+        "feat_spectral": f"""WITH {_PSD}, {_SPECTRAL_AGG}
             {every.format(cols=", ".join(f"round({c}::double, 6) AS {c}" for c in SPECTRAL))}""",
         "feat_band_power": f"""WITH {_PSD}, agg AS (SELECT window_id, {bands} FROM trap GROUP BY window_id)
             {every.format(cols=", ".join(f"{c}::double AS {c}" for c in BAND_POWERS))}""",

@@ -1,12 +1,14 @@
 """Training: schedules, kernels, single steps (checked by SQL), and whole fits."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import grid
 from ..operators.quality import quantization_error
-from ..operators.train import SomEstimator, SomModel, TemporalSomEstimator, reinforce, search_sizes
-from ..plans import checkpoint_dir, lookup_join, materialize
+from ..operators.train import SomEstimator, SomModel, TemporalSomEstimator, reinforce, search_sizes, temporal_bmu as recurrent_scores
+from ..plans import checkpoint_dir, delete, lookup_join, materialize
 from ..sources import read_table
 from . import base
 
@@ -96,7 +98,22 @@ def fit_reinforced(spark, sf_dir):
     return _codebook(reinforce(model, data, reinforcement=2, extension=2), spark)
 
 
-def temporal_bmu(spark, sf_dir):
+#: Context of the recurrent scoring of the recorded maps.
+CONTEXT = {"context_weight": 0.6, "context_influence": 0.3, "distance": "euclidean"}
+
+
+def _temporal(initial_context: list[float] | None = None):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Recordings scored with a context, each on its own map's codebook."""
+        rows = base.samples(spark, sf_dir, "seq_id", "ord").where("seq_id is not null and ord is not null")
+        book = read_table(spark, sf_dir, "codebook", "map_id", "nid", "w")
+        scored = recurrent_scores(rows, "data", book, CONTEXT, "seq_id", "ord", initial_context, by="map_id").where("nid is not null")
+        return scored.select("id", "seq_id", "ord", "nid", "nid2", F.round("dist", 6).alias("dist"), F.round("combined", 6).alias("combined"))
+
+    return query
+
+
+def fit_temporal(spark, sf_dir):
     """A recurrent map fitted to the records, which it then scores recording by recording."""
     rows = base.samples(spark, sf_dir, "seq_id", "ord").where("seq_id is not null and ord is not null").select("id", "seq_id", "ord", F.col("data").alias("features"))
     model = TemporalSomEstimator(size=5, period=300, weights="sample", random_seed=5, context_influence=0.3).fit(rows)
@@ -112,20 +129,44 @@ def size_search(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """A model saved as JSON, loaded again, and used."""
     model = SomEstimator(size=4, period=100, normalization="robust", random_seed=2).fit(_embeddings(spark, sf_dir))
-    path = f"{checkpoint_dir(spark)}/sparksom/model-{abs(hash(sf_dir))}"
+    path = f"{checkpoint_dir(spark)}/sparksom/model-{uuid.uuid4().hex}"
     model.save(spark, path)
     loaded = SomModel.load(spark, path)
+    delete(spark, path)
     return loaded.transform(_embeddings(spark, sf_dir)).select("id", "nid", "nid2", F.round("dist", 6).alias("dist"))
 
 
 def queries() -> dict:
-    plain = (grid_kernels, recommended_sizes, online_step, batch_epoch, fit_online, fit_pca, fit_batch, fit_reinforced, temporal_bmu, size_search, model_roundtrip)
-    return {"schedule_linear": _schedule("linear"), "schedule_asymptotic": _schedule("asymptotic"), **{f.__name__: f for f in plain}}
+    plain = (grid_kernels, recommended_sizes, online_step, batch_epoch, fit_online, fit_pca, fit_batch, fit_reinforced, fit_temporal, size_search, model_roundtrip)
+    return {"temporal_bmu": _temporal(), "temporal_bmu_initial": _temporal([0.5] * base.DIMS), "schedule_linear": _schedule("linear"), "schedule_asymptotic": _schedule("asymptotic"), **{f.__name__: f for f in plain}}
+
+
+def _temporal_sql(first: str) -> str:
+    """A recursion along each recording; ``first`` is the context before its first record."""
+    mixed = f"list_transform(ws, lambda w: {1 - CONTEXT['context_influence']}::double * list_distance(data, w) + {CONTEXT['context_influence']}::double * list_distance(ctx, w))"
+    alone = "list_transform(ws, lambda w: list_distance(data, w))"
+    keep = CONTEXT["context_weight"]
+    return f"""WITH RECURSIVE {base.SQL_SAMPLES},
+        books AS (SELECT map_id, list(w ORDER BY nid) AS ws FROM codebook GROUP BY map_id),
+        seqs AS (SELECT s.id, s.map_id, s.seq_id, s.ord, s.data, row_number() OVER (PARTITION BY s.seq_id ORDER BY s.ord) AS k
+          FROM samp s JOIN books USING (map_id) WHERE s.seq_id IS NOT NULL AND s.ord IS NOT NULL),
+        walk(seq_id, k, id, ord, one, two, dist, combined, ctx) AS (
+          SELECT DISTINCT seq_id, 0::bigint, NULL::bigint, NULL::int, NULL::bigint, NULL::bigint, NULL::double, NULL::double, {first} FROM seqs
+          UNION ALL
+          SELECT seq_id, k, id, ord, one, list_position(rest, list_min(rest))::bigint, list_distance(data, ws[one]), least,
+            CASE WHEN ctx IS NULL THEN ws[one] ELSE list_transform(list_zip(ctx, ws[one]), lambda t: {keep}::double * t[1] + {1 - keep}::double * t[2]) END
+          FROM (SELECT *, list_transform(scores, lambda v, i: CASE WHEN i = one THEN 'infinity'::double ELSE v END) AS rest
+            FROM (SELECT *, list_position(scores, list_min(scores))::bigint AS one, list_min(scores) AS least
+              FROM (SELECT q.*, b.ws, w.ctx, CASE WHEN w.ctx IS NULL THEN {alone} ELSE {mixed} END AS scores
+                FROM walk w JOIN seqs q ON q.seq_id = w.seq_id AND q.k = w.k + 1 JOIN books b ON b.map_id = q.map_id) a) b) c)
+        SELECT id, seq_id, ord, (one - 1)::int AS nid, (two - 1)::int AS nid2, round(dist, 6) AS dist, round(combined, 6) AS combined FROM walk WHERE k > 0"""
 
 
 def oracle_sql() -> dict[str, str]:
     side = "side AS (SELECT map_id, max(r) + 1 AS size FROM codebook GROUP BY map_id)"
     return {
+        "temporal_bmu": _temporal_sql("NULL::double[]"),
+        "temporal_bmu_initial": _temporal_sql(f"[0.5::double for i in range({base.DIMS})]"),
         "schedule_linear": f"SELECT t, round({RATE}::double * (1 - t / {T + 1}::double), 9) AS lr, round(1 + {SIGMA}::double * (1 - t / {T}::double), 9) AS radius FROM range(1, {T + 1}) r(t)",
         "schedule_asymptotic": f"SELECT t, round({RATE}::double / (1 + t / {T / 2}::double), 9) AS lr, round(1 + {SIGMA}::double / (1 + t / {T / 2}::double), 9) AS radius FROM range(1, {T + 1}) r(t)",
         "grid_kernels": f"""WITH {side} SELECT map_id, nid, round(exp(-((r - size // 2) ** 2 + (c - size // 2) ** 2) / 8.0::double), 9) AS gaussian,

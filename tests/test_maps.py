@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparksom.functions import distances
-from sparksom.functions.features import FeatureExtractor, sample_entropy
+from sparksom.functions.features import FeatureExtractor, sample_entropies, sample_entropy
 from sparksom.operators import quality, temporal, views
 from sparksom.operators.bmu import bmu_arrow, bmu_by_map, bmu_native
 from sparksom.operators.node_stats import heavy_keys, key_stats
 from sparksom.operators.sequences import with_previous
 from sparksom.plans import lookup_join
-from sparksom.sources import records_in_place
+from sparksom.sources import append_side_table, records_in_place
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +178,36 @@ def test_records_in_place(spark, tmp_path):
     assert sorted((r["id"], tuple(r["data"])) for r in got.collect()) == [(i, (float(i),) * 2) for i in range(50)]
     df.where("false").write.mode("overwrite").parquet(f"{tmp_path}/classification_map.parquet")
     assert records_in_place(spark, str(tmp_path), "data").count() == 0
+
+
+def test_side_table(spark):
+    df = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, 11, "c"), (4, None, "d")], "id long, k long, name string")
+    side = spark.createDataFrame([(10, "y", 2), (10, "x", 9), (10, "x", 9), (None, "z", 1), (12, "w", 0)], "k long, name string, v int")
+    want = {1: ("a", "x", 9), 2: ("b", "x", 9), 3: ("c", None, None), 4: ("d", None, None)}
+    assert {r["id"]: (r["name"], r["name_side"], r["v"]) for r in append_side_table(df, side, ["k"]).collect()} == want
+    assert append_side_table(df, side.where("false"), ["k"]).where("v is null").count() == 4
+
+
+def test_summary(spark):
+    rows = [(1, i, n, n // 3, n % 3) for i, n in enumerate([0, 0, 1, 0, 1, 5])]
+    steps = temporal.steps(spark.createDataFrame(rows, "seq_id long, ord int, nid int, r int, c int"), ["seq_id"], "ord")
+    text = temporal.summary(steps)
+    assert "samples              : 6" in text and "unique nodes         : 3" in text and "  0 -> 1 (2 times)" in text
+    row = temporal.summaries(steps, ["seq_id"], 2).first()
+    assert row["top_steps"] == "0>1:2;0>0:1" and row["n_nodes"] == 3
+
+
+def test_sample_entropies_of_many_rows():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 4, 10, 60):
+        x = rng.normal(size=(7, n)).round(1)
+        x[0] = 2.0
+        for m in (1, 2, 3):
+            both = []
+            for row in x:
+                tolerance, counts = 0.2 * row.std() if np.ptp(row) else 0.0, []
+                for length in (m, m + 1):
+                    starts = n - length
+                    counts.append(sum(max(abs(row[i + k] - row[j + k]) for k in range(length)) < tolerance for i in range(starts) for j in range(i + 1, starts)))
+                both.append(0.0 if not counts[0] else np.inf if not counts[1] else -np.log(counts[1] / counts[0]))
+            assert np.allclose(sample_entropies(x, m), both)

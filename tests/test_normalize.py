@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparksom.operators.normalize import FEATURE_METHODS, METHODS, SAMPLE_METHODS, Normalizer
+from sparksom.operators.normalize import FEATURE_METHODS, METHODS, SAMPLE_METHODS, Normalizer, exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +42,18 @@ def test_errors(data):
     with pytest.raises(ValueError):
         Normalizer("zscore").fit(df.where("false"), "x")
     assert len(SAMPLE_METHODS) + len(FEATURE_METHODS) + 1 == len(METHODS)
+
+
+def test_exact_quantiles(spark):
+    """Without a sort of the table: few values left to sort, ties, heavy values, nulls."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    columns = [rng.normal(size=n), rng.integers(0, 3, n).astype(float), np.full(n, 2.5), np.where(rng.random(n) < 0.6, 1.0, rng.exponential(1e6, n)), np.full(n, np.nan)]
+    rows = [[None if np.isnan(v) or (i == 0 and r % 7 == 0) else float(v) for i, v in enumerate(row)] for r, row in enumerate(zip(*columns))]
+    df = spark.createDataFrame([(r,) for r in rows], "x array<double>").repartition(5)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    for most in (20_000, 40, 1):
+        got = exact_quantiles(df, [F.get("x", F.lit(i)) for i in range(5)], shares, most)
+        for i in range(4):
+            assert np.allclose(got[i], np.percentile([r[i] for r in rows if r[i] is not None], [100 * s for s in shares]), rtol=1e-12)
+        assert all(np.isnan(v) for v in got[4])

@@ -1,9 +1,12 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparksom.operators import grid
-from sparksom.operators.train import SomEstimator, SomModel, TemporalSomEstimator, number_rows, reinforce, search_sizes, size_range
+from sparksom.operators.train import (
+    SomEstimator, SomModel, TemporalSomEstimator, _Rows, number_rows, reinforce, search_sizes, size_range, temporal_bmu)
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +57,7 @@ def test_validation(data, spark):
     for bad in ({"period": 1}, {"initial_lr": 0}, {"initial_lr": 1}, {"size": 1}, {"distance": "x"}, {"normalization": "x"}, {"weights": "x"}, {"algorithm": "x"}):
         with pytest.raises(ValueError):
             SomEstimator(**bad)
-    with pytest.raises(ValueError):
+    with pytest.raises(AssertionError):
         TemporalSomEstimator(context_weight=2)
     for row in ([1.0, float("nan")], [1.0, float("inf")], [1.0, None], None):
         with pytest.raises(ValueError):
@@ -101,7 +104,7 @@ def test_temporal(data, spark):
     assert np.allclose(plain.weights, same.weights)
     model = TemporalSomEstimator(size=4, period=30, random_seed=3, context_influence=0.4, context_weight=0.6).fit(df)
     seqs = df.withColumn("seq_id", F.col("id") % 2).withColumn("ord", F.col("id"))
-    got = {r["id"]: r["nid"] for r in model.transform(seqs).collect()}
+    got = {r["id"]: r for r in model.transform(seqs).collect()}
     for s in (0, 1):
         context = None
         for i in range(30):
@@ -112,7 +115,9 @@ def test_temporal(data, spark):
                 d = 0.6 * d + 0.4 * np.sqrt(((model.weights - context) ** 2).sum(1))
             best = int(np.argmin(d))
             context = model.weights[best] if context is None else 0.6 * context + 0.4 * model.weights[best]
-            assert got[i * 3] == best
+            row = got[i * 3]
+            assert row["nid"] == best and np.isclose(row["combined"], d[best]) and np.isclose(row["dist"], np.linalg.norm(model.weights[best] - x[i]))
+            assert np.isclose(row["dist2"], np.linalg.norm(model.weights[row["nid2"]] - x[i])) and np.isclose(row["combined2"], np.delete(d, best).min())
 
 
 def test_search_and_row_numbers(data):
@@ -121,3 +126,63 @@ def test_search_and_row_numbers(data):
         models, best = search_sizes(df, 20, 0.5, range(2, 4), 5)
     assert list(models) == [2, 3] and best in models
     assert [r["row"] for r in number_rows(df, "id").orderBy("id").collect()] == list(range(30))
+
+
+def test_presented_rows_of_equal_ids(spark):
+    """Equal ids are ordered by their vectors' hashes; null ids and copies are rows as well."""
+    x = [(5, [1.0]), (5, [2.0]), (5, [2.0]), (None, [3.0]), (1, [4.0])]
+    rows = _Rows(spark.createDataFrame(x, "id long, x array<double>").repartition(3))
+    got = rows.fetch(np.arange(5)).ravel().tolist()
+    assert got[:2] == [3.0, 4.0] and sorted(got[2:]) == [1.0, 2.0, 2.0] and rows.fetch(np.array([4, 0, 4])).ravel().tolist() == [got[4], 3.0, got[4]]
+    rows.release()
+
+
+def test_context_errors():
+    for bad in ({"context_weight": 1.5}, {"context_influence": -0.1}):
+        with pytest.raises(AssertionError):
+            TemporalSomEstimator(size=3, **bad)
+
+
+def test_recurrent_maps_by_key(spark):
+    rng = np.random.default_rng(8)
+    w = {k: rng.normal(size=(4, 3)) for k in (1, 2)}
+    rows = [(i, i % 4, 1 + i % 2, i, rng.normal(size=3).tolist() if i != 9 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, seq_id long, map_id long, ord int, x array<double>")
+    params = {"context_weight": 0.5, "context_influence": 0.3, "distance": "manhattan"}
+    book = spark.createDataFrame([(k, i, v.tolist()) for k in w for i, v in enumerate(w[k])], "map_id long, nid int, w array<double>").repartition(2)
+    for most in (100, 0):
+        got = {r["id"]: r for r in temporal_bmu(df, "x", book, params, "seq_id", "ord", [0.1, 0.2, 0.3], "map_id", most).collect()}
+        check(got, rows, w)
+    stray = temporal_bmu(df, "x", book.where("map_id = 2"), params, "seq_id", "ord", by="map_id").where("map_id = 1")
+    assert {r["nid"] for r in stray.collect()} == {None}
+
+
+def check(got, rows, w):
+    for s in range(4):
+        context = np.array([0.1, 0.2, 0.3])
+        for i, _, m, _, x in (r for r in rows if r[1] == s):
+            if x is None:
+                assert got[i]["nid"] is None
+                continue
+            d = 0.7 * np.abs(w[m] - x).sum(1) + 0.3 * np.linalg.norm(w[m] - context, axis=1)
+            assert got[i]["nid"] == d.argmin() and np.isclose(got[i]["combined"], d.min())
+            context = 0.5 * context + 0.5 * w[m][d.argmin()]
+
+
+@pytest.mark.parametrize("recurrent", [False, True])
+def test_models_of_the_other_layout(spark, tmp_path, recurrent):
+    """Weights by row and column, ``map_size`` and ``norm_params``, several entries."""
+    w = np.arange(12.0).reshape(2, 2, 3)
+    entry = {"map_size": 2, "input_data_dimension": 3, "presentation": "random", "initial_lr": 0.3, "distance": "euclidean", "use_decay": True, "num_data": 9, "period": 40,
+             "neighbourhood": 2, "normalization": "robust", "weights": w.tolist(), "norm_params": {"median": [1.0, 2.0, 3.0], "iqr": [2.0, 2.0, 4.0]}}
+    if recurrent:
+        entry |= {"context_weight": 0.4, "context_influence": 0.2, "dtw_band": None}
+    other = {**entry, "weights": (w + 100).tolist()}
+    (tmp_path / "m.json").write_text(json.dumps({"model": [entry, other] if recurrent else [other, entry]}))
+    model = SomModel.load(spark, str(tmp_path / "m.json"))
+    assert type(model).__name__ == ("TemporalSomModel" if recurrent else "SomModel") and np.array_equal(model.weights, w.reshape(4, 3))
+    df = spark.createDataFrame([(1, 0, 0, [3.0, 4.0, 15.0])], "id long, seq_id long, ord int, features array<double>")
+    assert model.transform(df).first()["nid"] == 0
+    after = reinforce(model, df, reinforcement=1)
+    model.save(spark, str(tmp_path / "again"))
+    assert SomModel.load(spark, str(tmp_path / "again")).params == model.params and after.weights.shape == (4, 3)
