@@ -37,21 +37,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the table as read back."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns the table as read back; with ``by`` in
+    one part per value of that column, which can be released one by one."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/sparksom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written[path] = spark
-    table = spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path).select(df.columns)
     table._sparksom_path = path
     return table
 
 
-def release(table: DataFrame | None) -> None:
-    """Deletes a table that :func:`materialize` wrote and no plan needs any more."""
+def release(table: DataFrame | None, part: str | None = None) -> None:
+    """Deletes a table that :func:`materialize` wrote and no plan needs any more, or its
+    ``part`` (``column=value``)."""
     path = getattr(table, "_sparksom_path", None)
-    if path and path in _written:
+    if path and part and path in _written:
+        delete(_written[path], f"{path}/{part}")
+    elif path and path in _written:
         delete(_written.pop(path), path)
 
 
