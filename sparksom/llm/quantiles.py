@@ -180,16 +180,21 @@ def merge_summaries(summaries: DataFrame, keys: list[str], eps: float, salts: in
     return _merge_level(halfway, keys, eps)
 
 
+#: Tuples (24 bytes each) of finished summaries that a task holds before it hands them on.
+HELD_TUPLES = 100_000
+
+
 def _merge_level(df: DataFrame, keys: list[str], eps: float) -> DataFrame:
     df = df.select(*keys, "n", "v", "a", "b")
     schema = df.schema
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_parts, done = None, [], []
+        open_key, open_parts, done, tuples = None, [], [], 0
 
-        def close():
+        def close() -> int:
             total = Summary.merge(open_parts)
             done.append((*open_key, total if len(open_parts) == 1 else total.compress(eps)))
+            return len(done[-1][-1].v)
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in keys]
@@ -199,14 +204,14 @@ def _merge_level(df: DataFrame, keys: list[str], eps: float) -> DataFrame:
                 summary = Summary(*(x[0][x[1][i]:x[1][i + 1]] for x in lists), n[i])
                 if key != open_key:
                     if open_key is not None:
-                        close()
+                        tuples += close()
                     open_key, open_parts = key, []
                 elif len(open_parts) >= FAN_IN:
                     open_parts = [Summary.merge(open_parts).compress(eps)]
                 open_parts.append(summary)
-            if len(done) >= 5_000:
-                yield _rows(done, keys, schema)
-                done = []
+                if tuples >= HELD_TUPLES:
+                    yield _rows(done, keys, schema)
+                    done, tuples = [], 0
         if open_key is not None:
             close()
         if done:

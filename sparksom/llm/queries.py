@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.node_stats import valid_measure
 from ..plans import lookup_join, materialize
@@ -30,9 +30,14 @@ P1_QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 P1_KEYS = ["measure", *NODE, "day"]
 
 
-def _p1_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level-one summaries of all groupings in one pass: `dist` of every node and of every
-    day, `x` and `y` of every map. Unused keys of a grouping are null."""
+def _day(ts: str) -> Column:
+    """The day of a timestamp in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
+def _p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of all groupings in one pass: `dist` of every node and of every day, `x`
+    and `y` of every map. Unused keys of a grouping are null."""
     nodes = _nodes(spark, sf_dir).withColumn("on_node", F.lit(True))
     rows = lookup_join(records(spark, sf_dir, *NODE, "dist", "ts"), nodes, NODE, "left", salt_by="id")
     none = F.lit(None)
@@ -44,18 +49,36 @@ def _p1_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, x, y, on = F.col("map_id"), F.col("x"), F.col("y"), F.col("on_node")
     dist = valid_measure("dist")
     entries = F.array(
-        entry("node_dist", F.when(on, dist), m, x, y), entry("day_dist", dist, day=F.to_date("ts")),
+        entry("node_dist", F.when(on, dist), m, x, y), entry("day_dist", dist, day=_day("ts")),
         entry("map_x", F.when(on, x), m), entry("map_y", F.when(on, y), m))
-    return summarize(rows.select(F.inline(F.filter(entries, lambda e: e["value"].isNotNull()))), P1_KEYS, "value", P1_EPS)
+    return rows.select(F.inline(F.filter(entries, lambda e: e["value"].isNotNull())))
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles(merge_summaries(_p1_summaries(spark, sf_dir), P1_KEYS, P1_EPS), P1_QUANTILES)
+    summaries = summarize(_p1_values(spark, sf_dir), P1_KEYS, "value", P1_EPS)
+    return percentiles(merge_summaries(summaries, P1_KEYS, P1_EPS), P1_QUANTILES)
+
+
+def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every percentile's true rank error, counted over all values of its group, is
+    within the stated bound, and the bound within eps n + 1."""
+    found = materialize(p1_percentiles(spark, sf_dir), "percentiles")
+    key = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in P1_KEYS])
+    values = lookup_join(_p1_values(spark, sf_dir).select(key.alias("key"), "value"), found.select(key.alias("key"), *P1_QUANTILES), ["key"], "inner")
+    counted = values.groupBy("key").agg(
+        F.count(F.lit(1)).alias("counted"), *[F.count_if(F.col("value") < F.col(p)).alias(f"less_{p}") for p in P1_QUANTILES],
+        *[F.count_if(F.col("value") <= F.col(p)).alias(f"upto_{p}") for p in P1_QUANTILES])
+    both = found.withColumn("key", key).join(counted, "key")
+    within = F.col("rank_error") <= F.col("n") * F.lit(P1_EPS) + 1
+    for p, q in P1_QUANTILES.items():
+        rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.lit(q), 9)))
+        within &= F.greatest(F.col(f"less_{p}") + 1 - rank, rank - F.col(f"upto_{p}"), F.lit(0)) <= F.col("rank_error")
+    return both.select("measure", "map_id", "x", "y", F.unix_date("day").alias("day_number"), "n", (within & (F.col("n") == F.col("counted"))).alias("within"))
 
 
 def p1_months_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished summaries of separate days combined into those of months."""
-    rows = records(spark, sf_dir, "dist", "ts").select(F.to_date("ts").alias("day"), valid_measure("dist").alias("dist"))
+    rows = records(spark, sf_dir, "dist", "ts").select(_day("ts").alias("day"), valid_measure("dist").alias("dist"))
     days = merge_summaries(summarize(rows, ["day"], "dist", P1_EPS), ["day"], P1_EPS)
     months = merge_summaries(days.withColumn("month", F.trunc("day", "month")), ["month"], P1_EPS)
     return percentiles(months, P1_QUANTILES)
@@ -165,7 +188,7 @@ def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked,
+    return {f.__name__: f for f in (p1_percentiles, p1_rank_errors, p1_months_from_days, p2_found, p2_stays, p4_found, p4_ranked,
         p5_found, p5_clusters, p5_membership, p5_links,
         p6_ids, p7_found, p7_containers, p7_fill, p8_found, p8_skeletons)}
 

@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans import lookup_join, materialize
+from ..plans import lookup_join, materialize, release
 
 Similar = Callable[[Column, Column], Column]
 
@@ -116,17 +116,21 @@ def collapse_runs(
         F.struct((F.col("pos") - 1).alias("pos"), F.col("pid").alias("id"), F.col("pt").alias("t"),
                  (~F.col("plink")).alias("start")).alias("p"),
     )
-    found = [pointers]
-    stride = 1
+    done = (F.col("end") & F.col("p.start")).alias("done")
+    table = materialize(pointers.withColumn("done", done), "run-pointers", by="done")
+    if min_records > 1:
+        release(rows)
+        release(buckets)
+    found, stride = [table.where("done")], 1
     while True:
-        pointers = _double(pointers, stride)
-        table = materialize(pointers, "run-pointers")
-        found.append(table)
-        if not table.where("`end` and not p.start").limit(1).count():
+        after = materialize(_double(table.drop("done"), stride).withColumn("done", done), "run-pointers", by="done")
+        release(table, "done=false")  # the resolved ends of a round are kept, the rest is not read again
+        table = after
+        found.append(table.where("done"))
+        if not table.where("not done and `end`").limit(1).count():
             break
         stride *= 2
-        pointers = table
-    ends = reduce(DataFrame.unionByName, [f.where("`end` and p.start") for f in found])
+    ends = reduce(DataFrame.unionByName, found)
     runs = ends.select(
         F.col("s").alias(sequence),
         F.col("p.id").alias("first_id"), F.col("id").alias("last_id"),
