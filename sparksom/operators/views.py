@@ -5,7 +5,7 @@ along rows of nodes and ``py`` along columns.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def heat_map(activations: DataFrame, by: list[str] = []) -> DataFrame:
@@ -42,14 +42,16 @@ def majority_labels(scored: DataFrame, label: str, by: list[str] = []) -> DataFr
 
 def hit_map(majority: DataFrame, by: list[str] = []) -> DataFrame:
     """Majority labels with the marker's half width: 0.18 + 0.72 sqrt(n / most n of the map)."""
-    most = majority.groupBy(*by).agg(F.max("n_labelled").alias("most")) if by else None
-    if by:
-        joined = majority.join(most, by)
-    else:
-        joined = majority.withColumn("most", F.max("n_labelled").over(Window.partitionBy(F.lit(1))))
+    most = majority.groupBy(*by).agg(F.max("n_labelled").alias("most"))
+    joined = majority.join(most, by) if by else majority.join(F.broadcast(most))  # one row
     return joined.withColumn("half_width", F.lit(0.18) + F.lit(0.72) * F.sqrt(F.col("n_labelled") / F.col("most"))).drop("most")
 
 
+def bar_chart(cells: DataFrame, value: str, by: list[str] = []) -> DataFrame:
+    """The cells of a grid (``by, nid``) as bars: ``position`` in row-major order and ``value``."""
+    return cells.select(*by, F.col("nid").alias("position"), F.col(value).cast("double").alias("value"))
+
+
 def weight_grid(codebook: DataFrame, majority: DataFrame, by: list[str] = []) -> DataFrame:
     """Weights of every node with its majority label and count (null for dead nodes)."""
     return codebook.join(majority, [*by, "nid"], "left")

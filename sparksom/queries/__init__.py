@@ -1,9 +1,9 @@
 """The query catalogue: every operator as a named query, with SQL where SQL can say it."""
 from __future__ import annotations
 
-from . import maps, pipeline, series, training
+from . import maps, pipeline, series, streams, training
 
-_MODULES = (maps, series, training, pipeline)
+_MODULES = (maps, series, streams, training, pipeline)
 
 
 def core_queries() -> dict:

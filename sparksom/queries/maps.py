@@ -94,6 +94,10 @@ def heat_map(spark, sf_dir):
     return views.heat_map(_hits(spark, sf_dir), MAP)
 
 
+def bar_chart(spark, sf_dir):
+    return views.bar_chart(_hits(spark, sf_dir), "activations", MAP)
+
+
 def activation_histogram(spark, sf_dir):
     return views.activation_histogram(_hits(spark, sf_dir), MAP)
 
@@ -126,7 +130,7 @@ def queries() -> dict:
     named["dist_dtw_band"] = _distance("dtw", 2)
     named |= {"bmu_top2": _bmu(), "bmu_own_distance": _bmu(own=True)} | {f"bmu_{n}": _bmu(n) for n in distances.available() if n != "euclidean"}
     plain = (activation_map, error_maps, map_quality, qe_euclidean, distortion, umatrix, majority_class, hit_map, purity, nmi,
-             heat_map, activation_histogram, characteristics, codebook_planes, weight_grid, rotated_weights, rotated_umatrix)
+             heat_map, bar_chart, activation_histogram, characteristics, codebook_planes, weight_grid, rotated_weights, rotated_umatrix)
     return {**named, **{f.__name__: f for f in plain}}
 
 
@@ -233,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT map_id, round(CASE WHEN (ha.h + hb.h) / 2 <= 1e-15 THEN 1.0 ELSE greatest(0, mi / ((ha.h + hb.h) / 2)) END, 6) AS nmi
             FROM mi JOIN ha USING (map_id) JOIN hb USING (map_id)""",
         "heat_map": f"WITH {_HITS} SELECT map_id, c AS plot_row, r AS plot_col, activations FROM hits",
+        "bar_chart": f"WITH {_HITS} SELECT map_id, nid AS position, activations::double AS value FROM hits",
         "activation_histogram": f"""WITH {_HITS}, m AS (SELECT map_id, unnest(range(max(activations) + 1)) AS hits FROM hits GROUP BY map_id)
             SELECT m.map_id, m.hits, count(h.nid) AS n_nodes FROM m LEFT JOIN hits h ON h.map_id = m.map_id AND h.activations = m.hits GROUP BY m.map_id, m.hits""",
         "characteristics": "SELECT map_id, nid, (i - 1)::int AS feature, round(w[i], 6) AS value FROM codebook, range(1, 17) t(i)",

@@ -96,6 +96,12 @@ def side_table(spark, sf_dir):
     return append_side_table(rows, side, ["seq_id"], salt_by="id")
 
 
+def signal_labels(spark, sf_dir):
+    """Signal windows with the name of their label."""
+    windows = read_table(spark, sf_dir, "signal_batch", "window_id", "label_code").where("window_id is not null").dropDuplicates(["window_id"])
+    return append_side_table(windows, read_table(spark, sf_dir, "waveform_labels"), ["label_code"], salt_by="window_id")
+
+
 def rank_correlation(spark, sf_dir):
     """Spearman correlation of each step's two flat node numbers, per map."""
     pairs = _steps(spark, sf_dir).where("prev_nid is not null")
@@ -159,7 +165,7 @@ FEATURES = {
 def queries() -> dict:
     norms = {f"norm_{m}": _feature_norm(m) for m in ("zscore", "fwn", "robust", "01scale")}
     norms |= {f"norm_{m}": _sample_norm(m) for m in ("zscore_sample", "robust_sample", "minmax_sample", "l2", "euclidean")}
-    plain = (norm_none, map_summary, dense_transitions, side_table, index_files, trajectory, trajectory_view, transitions, path_metrics, top_transitions, dwell_times, dwell_map, rank_correlation, rolling_index, index_ranks)
+    plain = (norm_none, map_summary, dense_transitions, side_table, signal_labels, index_files, trajectory, trajectory_view, transitions, path_metrics, top_transitions, dwell_times, dwell_map, rank_correlation, rolling_index, index_ranks)
     return {**norms, **{f.__name__: f for f in plain}, **FEATURES}
 
 
@@ -240,6 +246,8 @@ def oracle_sql() -> dict[str, str]:
               period_s NULLS FIRST, n_expected NULLS FIRST) AS k FROM recordings WHERE seq_id IS NOT NULL)
             SELECT p.id, p.map_id, p.seq_id, p.nid, s.map_id AS map_id_side, station, period_s, n_expected
             FROM placed p LEFT JOIN side s ON s.seq_id = p.seq_id AND k = 1""",
+        "signal_labels": """SELECT w.window_id, w.label_code, l.label FROM (SELECT window_id, any_value(label_code) AS label_code FROM signal_batch
+            WHERE window_id IS NOT NULL GROUP BY window_id) w LEFT JOIN (SELECT label_code, min(label) AS label FROM waveform_labels GROUP BY label_code) l USING (label_code)""",
         "index_files": """SELECT index_name, index_year, index_month, round(index_value, 4) AS index_value FROM climate_index
             WHERE index_name IS NOT NULL AND index_year IS NOT NULL AND index_month IS NOT NULL AND index_value IS NOT NULL""",
         "feat_welch": f"""WITH {_WINDOWS},

@@ -72,6 +72,20 @@ def test_reinforce(data):
     assert reinforce(model, df) is model
     before = model.weights.copy()
     after = reinforce(model, df, reinforcement=2, extension=2)
+    x1, d1 = data[0], SomEstimator(size=4, period=30, random_seed=1, presentation="sequential", use_decay=True, lr_decay="asymptotic").fit(df)
+    twice = reinforce(d1, df, reinforcement=2, extension=2, compression=0.25)
+    w, rate, sigma, period = d1.weights.copy(), 0.1, 4, 30
+    nodes = np.arange(16)
+    for _ in range(2):  # a plain version: longer rounds, smaller rates, radius 1 from the second on
+        period, rate = period * 2, rate * 0.25
+        for t in range(1, period + 1):
+            p = x1[(t - 1) % 30]
+            best = np.sqrt(((w - p) ** 2).sum(1)).argmin()
+            slow = 1 + t / (period / 2)
+            away = np.hypot(nodes // 4 - best // 4, nodes % 4 - best % 4)
+            w += (rate / slow * np.exp(-away ** 2 / (2 * (1 + sigma / slow) ** 2)))[:, None] * (p - w)
+        sigma = 1
+    assert np.allclose(twice.weights, w)
     assert after.params["period"] == 120 and not np.allclose(after.weights, before) and np.allclose(model.weights, before)
 
 
