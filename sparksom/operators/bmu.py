@@ -56,6 +56,45 @@ def top_two(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return one, d1, two, rest[rows, two]
 
 
+#: Nodes per sample that are measured exactly after an estimate.
+CLOSEST = 4
+
+
+def best_two(distance: distances.Distance, x: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """(first row, :func:`top_two`) of blocks of samples.
+
+    Euclidean distances are estimated by one matrix product, and exact, as the kernel has
+    them, for the closest few nodes; a sample whose next node could be as close, or that
+    is not finite, is measured against all nodes. So the result is the kernel's.
+    """
+    if distance.name != "euclidean" or len(w) <= 2 * CLOSEST:
+        for at, scores in block_scores(distance.kernel, x, w):
+            yield at, top_two(scores)
+        return
+    middle = w.mean(0)
+    near_w = w - middle
+    w2 = (near_w * near_w).sum(1)
+    step = max(1, BLOCK // len(w))
+    for at in range(0, len(x), step):
+        block = x[at:at + step]
+        near_x = block - middle
+        with np.errstate(invalid="ignore", over="ignore"):
+            estimate = w2 - 2.0 * (near_x @ near_w.T)
+            few = np.sort(np.argpartition(estimate, CLOSEST - 1, axis=1)[:, :CLOSEST], axis=1)
+            exact = np.sqrt(((block[:, None, :] - w[few]) ** 2).sum(axis=2))
+            order = np.argsort(exact, axis=1, kind="stable")[:, :2]
+            nodes, found = np.take_along_axis(few, order, 1), np.take_along_axis(exact, order, 1)
+            rows = np.arange(len(block))
+            last = np.take_along_axis(estimate, few, 1).max(1)
+            error = 1e-9 * ((near_x * near_x).sum(1) + w2.max())
+            doubtful = np.flatnonzero(~(last - estimate[rows, nodes[:, 1]] > error))
+        one, d1, two, d2 = nodes[:, 0].copy(), found[:, 0].copy(), nodes[:, 1].copy(), found[:, 1].copy()
+        for start, scores in block_scores(distance.kernel, block[doubtful], w):
+            some = doubtful[start:start + len(scores)]
+            one[some], d1[some], two[some], d2[some] = top_two(scores)
+        yield at, (one, d1, two, d2)
+
+
 def block_scores(kernel, x: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     step = max(1, BLOCK // max(1, w.size))
     for at in range(0, len(x), step):
@@ -73,7 +112,7 @@ def bmu_arrow(samples: DataFrame, features: str, weights: np.ndarray, distance:
     names = [*samples.columns, "nid", "dist", "nid2", "dist2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = distances.get(distance, band).kernel
+        measure = distances.get(distance, band)
         for batch in batches:
             column = batch.column(features)
             valid = np.flatnonzero(np.asarray(column.is_valid()))
@@ -82,9 +121,9 @@ def bmu_arrow(samples: DataFrame, features: str, weights: np.ndarray, distance:
             if normalizer is not None:
                 x = normalizer.apply_numpy(x)
             out = [np.zeros(batch.num_rows, t) for t in (np.int32, float, np.int32, float)]
-            for at, scores in block_scores(kernel, x, weights):
-                for column_, part in zip(out, top_two(scores)):
-                    column_[valid[at:at + len(scores)]] = part
+            for at, best in best_two(measure, x, weights):
+                for column_, part in zip(out, best):
+                    column_[valid[at:at + len(part)]] = part
             null = np.ones(batch.num_rows, bool)
             null[valid] = False
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, mask=null) for o in out)], names)
@@ -113,17 +152,19 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
     schema = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in keep) + ", " + BMU_SCHEMA
 
     def score(block: pa.Table, nodes: dict) -> pa.Table:
-        keys = block[by].combine_chunks().to_numpy(zero_copy_only=False)
+        coded = block[by].combine_chunks().dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        vectors = block[features].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vectors = vectors.reshape(block.num_rows, -1) if block.num_rows else vectors
         out, rows = [[] for _ in range(4)], []
-        for key in np.unique(keys[~np.array([k is None for k in keys])] if keys.dtype == object else keys):
+        for code, key in enumerate(coded.dictionary.to_pylist()):
             if key not in nodes:
                 continue
             nids, w, name = nodes[key]
-            kernel = distances.get(name, band).kernel
-            mine = np.flatnonzero(keys == key)
-            x = block[features].take(pa.array(mine)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1)
-            for at, scores in block_scores(kernel, x, w):
-                one, d1, two, d2 = top_two(scores)
+            mine = order[starts[code]:starts[code + 1]]
+            for _, (one, d1, two, d2) in best_two(distances.get(name, band), vectors[mine], w):
                 for o, part in zip(out, (nids[one], d1, nids[two], d2)):
                     o.append(part)
             rows.append(mine)

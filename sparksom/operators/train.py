@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import distances
 from ..plans import materialize, release
 from . import grid
-from .bmu import MAX_NODES, block_scores, bmu_arrow, top_two
+from .bmu import MAX_NODES, best_two, block_scores, bmu_arrow, top_two
 from .normalize import Normalizer
 
 WEIGHTS = ("random", "random_negative", "sample", "PCA")
@@ -325,14 +325,13 @@ def node_sums(data: DataFrame, x: str, weights: np.ndarray, distance: str, band:
     k2, d = weights.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = distances.get(distance, band).kernel
+        measure = distances.get(distance, band)
         n, s = np.zeros(k2, np.int64), np.zeros((k2, d))
         for batch in batches:
             m = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            for at, scores in block_scores(kernel, m, weights):
-                best = top_two(scores)[0]
+            for at, (best, *_) in best_two(measure, m, weights):
                 n += np.bincount(best, minlength=k2)
-                np.add.at(s, best, m[at:at + len(scores)])
+                np.add.at(s, best, m[at:at + len(best)])
         hit = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"nid": hit.astype(np.int32), "n": n[hit], "s": s[hit].tolist()})
 

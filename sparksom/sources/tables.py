@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans import lookup_join, materialize, release
+from ..plans import lookup_join, materialize
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -27,15 +27,13 @@ def records_in_place(spark: SparkSession, sf_dir: str, *columns: str) -> DataFra
     """As :func:`records`, without shuffling the named columns; for wide ones, such as vectors.
 
     Ids alone are counted first. Of an id delivered several times one row counts, that of
-    the smallest hash of its place (file and row); the others' places are a small table,
-    broadcast up to the bound of :func:`lookup_join`, and drop out of the scan.
+    the smallest hash of its place (file and row). Such ids and their places are a small
+    table, broadcast up to the bound of :func:`lookup_join`; the scan drops other rows of theirs.
     """
     table = spark.read.parquet(f"{sf_dir}/classification_map.parquet").where("id is not null")
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    counts = table.select("id", place.alias("place")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("kept"))
-    several = materialize(counts.where("n > 1").select("id", "kept"), "several-deliveries")
-    others = lookup_join(table.select("id", place.alias("place")), several, ["id"], "inner").where("place != kept").select("id", "place")
-    others = materialize(others.distinct(), "other-deliveries")
-    release(several)
+    counts = table.select("id", place.alias("place")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    several = materialize(counts.where("n > 1").select("id", F.col("place").alias("__kept")), "several-deliveries")
     rows = table.select("id", *columns, place.alias("__place"))
-    return lookup_join(rows, others.withColumnRenamed("place", "__place"), ["id", "__place"], "left_anti").drop("__place")
+    marked = lookup_join(rows, several, ["id"], "left", salt_by="__place")
+    return marked.where("__kept is null or __kept = __place").drop("__kept", "__place")

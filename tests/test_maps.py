@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparksom.functions import distances
 from sparksom.functions.features import FeatureExtractor, sample_entropies, sample_entropy
 from sparksom.operators import quality, temporal, views
-from sparksom.operators.bmu import bmu_arrow, bmu_by_map, bmu_native
+from sparksom.operators.bmu import best_two, bmu_arrow, bmu_by_map, bmu_native, top_two
 from sparksom.operators.node_stats import heavy_keys, key_stats
 from sparksom.operators.sequences import with_previous
 from sparksom.plans import lookup_join
@@ -211,3 +211,19 @@ def test_sample_entropies_of_many_rows():
                     counts.append(sum(max(abs(row[i + k] - row[j + k]) for k in range(length)) < tolerance for i in range(starts) for j in range(i + 1, starts)))
                 both.append(0.0 if not counts[0] else np.inf if not counts[1] else -np.log(counts[1] / counts[0]))
             assert np.allclose(sample_entropies(x, m), both)
+
+
+def test_best_two_is_the_kernels():
+    """Estimated and then measured: the same nodes and distances to the last bit, with ties,
+    repeated nodes, samples on a node, far away and not finite."""
+    rng = np.random.default_rng(12)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e4), (1e6, -3.0)):
+        w = rng.normal(size=(60, 16)) * scale + shift
+        w[17], w[40:45] = w[3], w[30]
+        x = np.concatenate([rng.normal(size=(300, 16)) * scale + shift, w, w[:20] + 1e-9, rng.normal(size=(5, 16)) * 1e12, (w[:10] + w[10:20]) / 2])
+        x[5, 3], x[6, 0] = np.nan, np.inf
+        kernel = distances.get("euclidean")
+        with np.errstate(invalid="ignore"):
+            want = top_two(kernel.kernel(x, w))
+        got = [np.concatenate(parts) for parts in zip(*(best for _, best in best_two(kernel, x, w)))]
+        assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want))
