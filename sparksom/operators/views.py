@@ -68,9 +68,11 @@ def rotated_u_matrix(cells: DataFrame, sizes: DataFrame, by: list[str]) -> DataF
 
 
 def trajectory(path: DataFrame, sequence: list[str], order: str, seed: int = 0, jitter: float = 0.12) -> DataFrame:
-    """The path with a jitter that is a function of (seed, sequence, order), so it replays."""
+    """The path with a jitter that is a function of (seed, sequence, order), so it replays: the
+    first seven digits of a digest as a share of 16^7."""
     def shift(salt: int):
-        unit = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *sequence, order), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        text = F.concat_ws(",", F.lit(seed), F.lit(salt), *[F.col(c).cast("string") for c in (*sequence, order)])
+        unit = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("double") / F.lit(float(16 ** 7))
         return (unit * 2 - 1) * jitter
 
     return path.select(*sequence, order, "nid", "r", "c", (F.col("c") + shift(1)).alias("jx"), (F.col("r") + shift(2)).alias("jy"))

@@ -196,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "dist_dtw_band": _DTW.format(samples=base.SQL_WEIGHED, inside="abs(i + 1 - j) <= 2"),
         "bmu_top2": f"WITH {base.SQL_SCORED} {top2}",
         **{f"bmu_{name}": bmu(expr) for name, expr in flat.items()},
+        "bmu_cross_correlation": bmu(cross),
         "bmu_own_distance": f"""WITH RECURSIVE {base.SQL_SAMPLES},
             own AS (SELECT map_id, any_value(CASE WHEN lower(trim(distance)) IN ('manhattan', 'chebyshev', 'cosine', 'correlation', 'dtw', 'cross_correlation')
               THEN lower(trim(distance)) ELSE 'euclidean' END) AS distance FROM trained_map GROUP BY map_id),

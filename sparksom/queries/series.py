@@ -53,7 +53,8 @@ def trajectory(spark, sf_dir):
 
 def trajectory_view(spark, sf_dir):
     """The plotted path, with its replayable jitter."""
-    return views.trajectory(trajectory(spark, sf_dir), ["seq_id"], "ord")
+    view = views.trajectory(trajectory(spark, sf_dir), ["seq_id"], "ord")
+    return view.withColumns({c: F.round(c, 6) for c in ("jx", "jy")})
 
 
 def transitions(spark, sf_dir):
@@ -226,6 +227,10 @@ def oracle_sql() -> dict[str, str]:
         "norm_minmax_sample": _sample_sql(f"(v - a) / ({_or_one('(b - a)')})", "min(v) AS a, max(v) AS b"),
         "norm_l2": l2, "norm_euclidean": l2,
         "trajectory": f"WITH {base.SQL_PLACED} SELECT seq_id, ord, nid, r, c FROM placed WHERE seq_id IS NOT NULL AND ord IS NOT NULL",
+        "trajectory_view": f"""WITH {base.SQL_PLACED}, p AS (SELECT seq_id, ord, nid, r, c,
+              {', '.join(f"(('0x' || substr(md5('0,{salt},' || seq_id || ',' || ord), 1, 7))::bigint / {16 ** 7}.0::double * 2 - 1) * 0.12::double AS j{salt}" for salt in (1, 2))}
+              FROM placed WHERE seq_id IS NOT NULL AND ord IS NOT NULL)
+            SELECT seq_id, ord, nid, r, c, round(c + j1, 6) AS jx, round(r + j2, 6) AS jy FROM p""",
         "transitions": f"WITH {_STEPS} SELECT map_id, from_nid, to_nid, cnt, round(cnt / sum(cnt) OVER (PARTITION BY map_id, from_nid), 6) AS prob FROM tr",
         "path_metrics": f"""WITH {_STEPS} SELECT map_id, seq_id, count(*) AS n_samples,
             round(coalesce(avg((nid = pn)::int), 1.0), 6) AS stability, round(coalesce(avg(sqrt((r - pr) ** 2 + (c - pc) ** 2)), 0.0), 6) AS mean_path_length,
