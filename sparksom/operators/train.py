@@ -130,13 +130,12 @@ class _Rows:
         if self.numbered is None:
             self.numbered = number_rows(keyed, "id", "h")
         wanted = self.data.sparkSession.createDataFrame([(int(i),) for i in np.unique(drawn)], "row bigint")
-        places = materialize(self.numbered.join(F.broadcast(wanted), "row"), "drawn-rows")  # at most as many as drawn
-        names = F.broadcast(places.select(F.col("id").alias("id2"), F.col("h").alias("h2")).distinct())
+        places = {r["row"]: (r["id"], r["h"]) for r in self.numbered.join(F.broadcast(wanted), "row").collect()}  # at most as many as drawn
+        kind = self.data.schema["id"].dataType.simpleString()
+        names = F.broadcast(self.data.sparkSession.createDataFrame(sorted(set(places.values()), key=str), f"id2 {kind}, h2 bigint"))
         rows = keyed.join(names, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).drop("id2", "h2")
         found = {(r["id"], r["h"]): r["x"] for r in rows.dropDuplicates(["id", "h"]).collect()}
-        at = {r["row"]: found[r["id"], r["h"]] for r in places.collect()}
-        release(places)
-        return np.array([at[int(i)] for i in drawn], float)
+        return np.array([found[places[int(i)]] for i in drawn], float)
 
     def release(self) -> None:
         release(self.numbered)
