@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import distances
+from .normalize import Normalizer
 
 #: Doubles that one block of differences may hold.
 BLOCK = 4_000_000
@@ -142,7 +143,8 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
     """``samples`` with ``nid, dist, nid2, dist2``, each against the codebook of its own map.
 
     ``codebook`` has ``by, nid, w`` and may have ``distance``, the name of the map's own (null:
-    ``distance``). ``keep`` are the samples' columns that go on, all of them by default. Up to ``max_nodes`` nodes travel to the tasks as arrays
+    ``distance``), and ``normalization`` with ``centre`` and ``scale``, the map's way to
+    normalise samples, which its weights go through as well (null: none). ``keep`` are the samples' columns that go on, all of them by default. Up to ``max_nodes`` nodes travel to the tasks as arrays
     and no sample is shuffled; beyond, samples meet their map's nodes in groups of
     (map, salt), as many salts as the largest map needs to stay near ``GROUP_ROWS``.
     Samples must be complete and finite; samples of unknown maps are left out.
@@ -162,9 +164,9 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
         for code, key in enumerate(coded.dictionary.to_pylist()):
             if key not in nodes:
                 continue
-            nids, w, name = nodes[key]
+            nids, w, name, normalizer = nodes[key]
             mine = order[starts[code]:starts[code + 1]]
-            for _, (one, d1, two, d2) in best_two(distances.get(name, band), vectors[mine], w):
+            for _, (one, d1, two, d2) in best_two(distances.get(name, band), normalizer.apply_numpy(vectors[mine]), w):
                 for o, part in zip(out, (nids[one], d1, nids[two], d2)):
                     o.append(part)
             rows.append(mine)
@@ -175,12 +177,22 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
 
     def table_of(rows) -> dict:
         found: dict = {}
-        for key, nid, w, name in rows:
-            found.setdefault(key, []).append((nid, w, name))
-        return {k: (np.array([n for n, _, _ in sorted(v)], np.int32), np.array([w for _, w, _ in sorted(v)], float), v[0][2]) for k, v in found.items()}
-
-    own = F.coalesce("distance", F.lit(distance)) if "distance" in codebook.columns else F.lit(distance)
-    nodes = codebook.select(by, "nid", "w", own.alias("distance"))
+        for key, *node in rows:
+            found.setdefault(key, []).append(node)
+        out = {}
+        for key, of_map in found.items():
+            of_map.sort(key=lambda node: node[0])
+            _, _, name, method, centre, scale = of_map[0]
+            normalizer = Normalizer(method, {"centre": centre, "scale": scale})
+            out[key] = np.array([n[0] for n in of_map], np.int32), normalizer.apply_numpy(np.array([n[1] for n in of_map], float)), name, normalizer
+        return out
+
+    def given(column: str, otherwise: Column) -> Column:
+        return (F.coalesce(column, otherwise) if column in codebook.columns else otherwise).alias(column)
+
+    nothing = F.lit(None).cast("array<double>")
+    columns = (by, "nid", "w", "distance", "normalization", "centre", "scale")
+    nodes = codebook.select(by, "nid", "w", given("distance", F.lit(distance)), given("normalization", F.lit("none")), given("centre", nothing), given("scale", nothing))
     if nodes.count() <= max_nodes:
         shared = samples.sparkSession.sparkContext.broadcast(table_of(nodes.collect()))
 
@@ -196,7 +208,7 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
     repeated = nodes.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = zip(*(right[c].to_pylist() for c in (by, "nid", "w", "distance")))
+        rows = zip(*(right[c].to_pylist() for c in columns))
         return score(left.drop_columns(["__salt"]), table_of(rows))
 
     return spread.groupBy(by, "__salt").cogroup(repeated.groupBy(by, "__salt")).applyInArrow(meet, schema)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +68,20 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, the tables written within: a query's own, once its result is out.
+
+    ``with scope(): df = query(...); df.write.parquet(...)``
+    """
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in set(_written) - before:
+            delete(_written.pop(path), path)
+
+
 @atexit.register
 def _release_all() -> None:
     for path, spark in list(_written.items()):

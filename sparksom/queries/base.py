@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import distances
 from ..operators.bmu import bmu_by_map
+from ..operators.normalize import SAMPLE_METHODS
 from ..plans import lookup_join
 from ..sources import read_table, records, records_in_place
 
@@ -53,15 +54,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "codebook", "map_id", "nid", "r", "c")
 
 
-def scored(spark: SparkSession, sf_dir: str, distance: str = "euclidean", own: bool = False) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, distance: str = "euclidean", own: bool = False, normalized: bool = False) -> DataFrame:
     """Records with a complete sample, their two best nodes on their own map and both positions.
 
     Deliveries are scored where they lie; what is shuffled, to count each record once, are
-    an id and the result. ``own`` takes each map's own distance, as ``trained_map`` has it.
+    an id and the result. ``own`` takes each map's own distance, as ``trained_map`` has it,
+    ``normalized`` its own normalisation as well.
     """
     book = read_table(spark, sf_dir, "codebook", "map_id", "nid", "w")
     if own:
         book = book.join(own_distances(spark, sf_dir), "map_id", "left")
+    if normalized:
+        book = book.join(own_normalizations(spark, sf_dir), "map_id", "left")
     best = bmu_by_map(deliveries(spark, sf_dir), "data", book, "map_id", "id", distance, keep=["id", "map_id"]).dropDuplicates(["id"])
     return _positions(spark, sf_dir, best)
 
@@ -80,6 +84,31 @@ def own_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "trained_map", "map_id", known.alias("distance")).dropDuplicates(["map_id"])
 
 
+#: Names of normalisations in ``trained_map`` that the registry has under another.
+NORMALIZATIONS = {"zscore_feature": "zscore", "minmax_feature": "01scale", "robust_feature": "robust"}
+
+
+def own_normalizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``map_id, normalization, centre, scale``: the maps' normalisations, those per feature
+    fitted to the map's complete records; none where a map names none or an unknown one, or
+    has no record to fit. A row per map; records are combined before anything is shuffled."""
+    name = F.lower(F.trim("normalization"))
+    for given, ours in NORMALIZATIONS.items():
+        name = F.when(name == given, F.lit(ours)).otherwise(name)
+    known = F.when(name.isin("zscore", "fwn", "01scale", *SAMPLE_METHODS), name).otherwise(F.lit("none"))
+    methods = read_table(spark, sf_dir, "trained_map", "map_id", known.alias("normalization")).dropDuplicates(["map_id"])
+    cells = [F.get("data", F.lit(i)) for i in range(DIMS)]
+    fits = [[f(c).alias(f"{n}{i}") for i, c in enumerate(cells)] for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))]
+    stats = samples(spark, sf_dir).groupBy("map_id").agg(*[c for fit in fits for c in fit])
+    one = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    range_ = F.col("normalization") == "01scale"
+    centre = F.when(range_, F.array(*[f"a{i}" for i in range(DIMS)])).otherwise(F.array(*[f"m{i}" for i in range(DIMS)]))
+    scale = F.when(range_, F.array(*[one(F.col(f"b{i}") - F.col(f"a{i}")) for i in range(DIMS)])).otherwise(F.array(*[one(F.col(f"s{i}")) for i in range(DIMS)]))
+    fitted = methods.join(stats, "map_id", "left").select("map_id", "normalization", centre.alias("centre"), scale.alias("scale"), F.col("m0").isNotNull().alias("fits"))
+    method = F.when(F.col("fits") | F.col("normalization").isin(*SAMPLE_METHODS), F.col("normalization")).otherwise(F.lit("none"))
+    return fitted.select("map_id", method.alias("normalization"), "centre", "scale")
+
+
 def _positions(spark: SparkSession, sf_dir: str, best: DataFrame) -> DataFrame:
     side = sizes(spark, sf_dir)
     joined = lookup_join(best, side, ["map_id"], "inner", salt_by="id")

@@ -19,9 +19,9 @@ def _distance(name: str, band: int | None = None):
     return query
 
 
-def _bmu(distance: str = "euclidean", own: bool = False):
+def _bmu(distance: str = "euclidean", own: bool = False, normalized: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        best = base.scored(spark, sf_dir, distance, own)
+        best = base.scored(spark, sf_dir, distance, own, normalized)
         return best.select("id", "map_id", "nid", "nid2", F.round("dist", 6).alias("dist"), F.round("dist2", 6).alias("dist2"))
 
     return query
@@ -128,7 +128,7 @@ def rotated_umatrix(spark, sf_dir):
 def queries() -> dict:
     named = {f"dist_{n}": _distance(n) for n in distances.available()}
     named["dist_dtw_band"] = _distance("dtw", 2)
-    named |= {"bmu_top2": _bmu(), "bmu_own_distance": _bmu(own=True)} | {f"bmu_{n}": _bmu(n) for n in distances.available() if n != "euclidean"}
+    named |= {"bmu_top2": _bmu(), "bmu_own_distance": _bmu(own=True), "bmu_own_normalization": _bmu(own=True, normalized=True)} | {f"bmu_{n}": _bmu(n) for n in distances.available() if n != "euclidean"}
     plain = (activation_map, error_maps, map_quality, qe_euclidean, distortion, umatrix, majority_class, hit_map, purity, nmi,
              heat_map, bar_chart, activation_histogram, characteristics, codebook_planes, weight_grid, rotated_weights, rotated_umatrix)
     return {**named, **{f.__name__: f for f in plain}}
@@ -165,6 +165,17 @@ per AS (SELECT map_id, nid, count(*) AS n, sum(dist) AS s, sum(CASE WHEN greates
   FROM scored GROUP BY map_id, nid)"""
 
 
+def _normal(v: str) -> str:
+    """A vector by its map's normalisation (``o``), with the map's statistics (``t``)."""
+    one = lambda x: f"CASE WHEN {x} = 0 THEN 1.0 ELSE {x} END"
+    quantile = lambda q: f"list_aggregate({v}, 'quantile_cont', {q})"
+    each = lambda centre, scale: f"list_transform(range(1, 17), lambda i: ({v}[i] - {centre}) / ({one(scale)}))"
+    return f"""CASE o.normalization WHEN 'zscore_feature' THEN {each('t.m[i]', 't.sd[i]')} WHEN 'zscore' THEN {each('t.m[i]', 't.sd[i]')}
+        WHEN 'minmax_feature' THEN {each('t.lo[i]', '(t.hi[i] - t.lo[i])')} WHEN '01scale' THEN {each('t.lo[i]', '(t.hi[i] - t.lo[i])')}
+        WHEN 'zscore_sample' THEN {each(f'list_avg({v})', f'list_stddev_pop({v})')} WHEN 'minmax_sample' THEN {each(f'list_min({v})', f'(list_max({v}) - list_min({v}))')}
+        WHEN 'robust_sample' THEN {each(quantile(0.5), f'({quantile(0.75)} - {quantile(0.25)})')} ELSE {v} END"""
+
+
 def oracle_sql() -> dict[str, str]:
     def dist(expr: str) -> str:
         return f"WITH {base.SQL_WEIGHED} SELECT id, round({expr}, 6) AS dist FROM weighed"
@@ -188,20 +199,19 @@ def oracle_sql() -> dict[str, str]:
         "correlation": f"""CASE WHEN list_max(data) = list_min(data) OR list_max(w) = list_min(w) THEN 1.0
             ELSE 1 - abs({_COS.format(a=centred[0], b=centred[1])}) END""",
     }
-    return {
-        "dist_euclidean": dist(f"sqrt(list_sum(list_transform({_ZIP}, lambda t: (t[1] - t[2]) ** 2)))"),
-        **{f"dist_{name}": dist(expr) for name, expr in flat.items()},
-        "dist_cross_correlation": dist(cross),
-        "dist_dtw": _DTW.format(samples=base.SQL_WEIGHED, inside="TRUE"),
-        "dist_dtw_band": _DTW.format(samples=base.SQL_WEIGHED, inside="abs(i + 1 - j) <= 2"),
-        "bmu_top2": f"WITH {base.SQL_SCORED} {top2}",
-        **{f"bmu_{name}": bmu(expr) for name, expr in flat.items()},
-        "bmu_cross_correlation": bmu(cross),
-        "bmu_own_distance": f"""WITH RECURSIVE {base.SQL_SAMPLES},
+
+    def own(data: str, w: str) -> str:
+        """Each map by its own distance; ``data`` and ``w`` say what is compared."""
+        stats = ", ".join(f"[{', '.join(f'{f}(data[{i}])' for i in range(1, base.DIMS + 1))}] AS {n}" for n, f in (("m", "avg"), ("sd", "stddev_pop"), ("lo", "min"), ("hi", "max")))
+        return f"""WITH RECURSIVE {base.SQL_SAMPLES},
+            stats AS (SELECT map_id, {stats} FROM samp GROUP BY map_id),
             own AS (SELECT map_id, any_value(CASE WHEN lower(trim(distance)) IN ('manhattan', 'chebyshev', 'cosine', 'correlation', 'dtw', 'cross_correlation')
-              THEN lower(trim(distance)) ELSE 'euclidean' END) AS distance FROM trained_map GROUP BY map_id),
+              THEN lower(trim(distance)) ELSE 'euclidean' END) AS distance,
+              any_value(lower(trim(normalization))) AS normalization FROM trained_map GROUP BY map_id),
+            ns AS (SELECT s.id, s.map_id, s.label, {data} AS data FROM samp s LEFT JOIN own o ON o.map_id = s.map_id LEFT JOIN stats t ON t.map_id = s.map_id),
+            nc AS (SELECT c.map_id, c.nid, c.r, c.c, {w} AS w FROM codebook c LEFT JOIN own o ON o.map_id = c.map_id LEFT JOIN stats t ON t.map_id = c.map_id),
             met AS (SELECT s.id, s.map_id, s.label, s.data, c.nid, c.r, c.c, c.w, coalesce(o.distance, 'euclidean') AS distance
-              FROM samp s JOIN codebook c ON s.map_id = c.map_id LEFT JOIN own o ON o.map_id = s.map_id),
+              FROM ns s JOIN nc c ON s.map_id = c.map_id LEFT JOIN own o ON o.map_id = s.map_id),
             dp(id, nid, i, data, w, costs) AS (
               SELECT id, nid, 0, data, w, [0.0::double] || list_transform(range(16), lambda k: 'infinity'::double) FROM met WHERE distance = 'dtw'
               UNION ALL
@@ -210,7 +220,19 @@ def oracle_sql() -> dict[str, str]:
             pairs AS (SELECT id, map_id, label, nid, r, c, CASE distance {' '.join(f"WHEN '{name}' THEN {expr}" for name, expr in flat.items())}
                 WHEN 'cross_correlation' THEN {cross} ELSE list_distance(data, w) END AS d FROM met WHERE distance <> 'dtw'
               UNION ALL SELECT m.id, m.map_id, m.label, m.nid, m.r, m.c, sqrt(p.costs[17]) FROM dp p JOIN met m ON m.id = p.id AND m.nid = p.nid WHERE p.i = 16)
-            {base.SQL_RANKED} {top2}""",
+            {base.SQL_RANKED} {top2}"""
+
+    return {
+        "dist_euclidean": dist(f"sqrt(list_sum(list_transform({_ZIP}, lambda t: (t[1] - t[2]) ** 2)))"),
+        **{f"dist_{name}": dist(expr) for name, expr in flat.items()},
+        "dist_cross_correlation": dist(cross),
+        "dist_dtw": _DTW.format(samples=base.SQL_WEIGHED, inside="TRUE"),
+        "dist_dtw_band": _DTW.format(samples=base.SQL_WEIGHED, inside="abs(i + 1 - j) <= 2"),
+        "bmu_top2": f"WITH {base.SQL_SCORED} {top2}",
+        **{f"bmu_{name}": bmu(expr) for name, expr in flat.items()},
+        "bmu_cross_correlation": bmu(cross),
+        "bmu_own_distance": own("s.data", "c.w"),
+        "bmu_own_normalization": own(_normal("s.data"), _normal("c.w")),
         "activation_map": f"""WITH {base.SQL_SCORED} SELECT c.map_id, c.nid, c.r, c.c, count(s.id) AS activations
             FROM codebook c LEFT JOIN scored s ON s.map_id = c.map_id AND s.nid = c.nid GROUP BY c.map_id, c.nid, c.r, c.c""",
         "error_maps": f"""WITH {_CELLS} SELECT c.map_id, c.nid, coalesce(n, 0)::bigint AS activations, round(coalesce((round_even(s * 1e5, 0) / 1e5), 0), 5) AS distance_sum,

@@ -9,7 +9,8 @@ from sparksom.operators import quality, temporal, views
 from sparksom.operators.bmu import best_two, bmu_arrow, bmu_by_map, bmu_native, top_two
 from sparksom.operators.node_stats import heavy_keys, key_stats
 from sparksom.operators.sequences import with_previous
-from sparksom.plans import lookup_join
+from sparksom.operators.normalize import Normalizer
+from sparksom.plans import checkpoint_dir, lookup_join, materialize, release, scope
 from sparksom.sources import append_side_table, records_in_place
 
 
@@ -227,3 +228,39 @@ def test_best_two_is_the_kernels():
             want = top_two(kernel.kernel(x, w))
         got = [np.concatenate(parts) for parts in zip(*(best for _, best in best_two(kernel, x, w)))]
         assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want))
+
+
+def test_own_normalizations(spark):
+    rng = np.random.default_rng(14)
+    ways = {1: ("zscore", [1.0] * 5, [2.0, 4.0, 0.5, 1.0, 3.0]), 2: ("robust_sample", None, None), 3: (None, None, None)}
+    w = {m: rng.normal(size=(12, 5)) * 3 for m in ways}
+    book = spark.createDataFrame([(m, i, v.tolist(), *ways[m]) for m in ways for i, v in enumerate(w[m])],
+                                 "map_id long, nid int, w array<double>, normalization string, centre array<double>, scale array<double>")
+    x = [(i, 1 + i % 3, rng.normal(size=5) * 3) for i in range(45)]
+    rows = spark.createDataFrame([(i, m, v.tolist()) for i, m, v in x], "id long, map_id long, data array<double>")
+    want = {}
+    for i, m, v in x:
+        normalizer = Normalizer(ways[m][0] or "none", {"centre": ways[m][1], "scale": ways[m][2]})
+        d = np.linalg.norm(normalizer.apply_numpy(v[None]) - normalizer.apply_numpy(w[m]), axis=1)
+        want[i] = tuple(np.argsort(d, kind="stable")[:2])
+    for most in (1_000, 0):
+        got = bmu_by_map(rows, "data", book, "map_id", "id", max_nodes=most)
+        assert {r["id"]: (r["nid"], r["nid2"]) for r in got.collect()} == want
+
+
+def test_written_tables(spark):
+    """Parts are released one by one, and a scope deletes what was written within."""
+    import os
+
+    folder = f"{checkpoint_dir(spark)}/sparksom".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    kept = materialize(spark.range(3), "kept")
+    with scope():
+        table = materialize(spark.range(10).select((F.col("id") % 2 == 0).alias("even"), "id"), "parted", by="even")
+        assert table.columns == ["even", "id"] and table.where("even").count() == 5
+        release(table, "even=false")
+        assert {r["id"] for r in spark.read.parquet(table._sparksom_path).collect()} == {0, 2, 4, 6, 8}
+        assert len(set(os.listdir(folder)) - before) == 2
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 3
+    release(kept)
+    assert set(os.listdir(folder)) == before
