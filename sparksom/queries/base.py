@@ -33,9 +33,11 @@ def samples(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Records on a valid position, with their node ``nid, r, c`` (r = x, c = y)."""
+    """Records on a valid position, with their node ``nid, r, c`` (r = x, c = y). Numbers are
+    deduplicated by a hash aggregate; with a text, which it can't hold, records stay in place."""
     nodes = read_table(spark, sf_dir, "codebook", "map_id", F.col("r").alias("x"), F.col("c").alias("y"), "nid")
-    rows = records(spark, sf_dir, *dict.fromkeys(["map_id", "x", "y", *columns]))
+    once = records_in_place if "label" in columns else records
+    rows = once(spark, sf_dir, *dict.fromkeys(["map_id", "x", "y", *columns]))
     return lookup_join(rows, nodes, ["map_id", "x", "y"], "inner", salt_by="id").withColumnsRenamed({"x": "r", "y": "c"})
 
 
