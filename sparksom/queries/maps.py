@@ -33,7 +33,7 @@ def activation_map(spark, sf_dir):
 
 def error_maps(spark, sf_dir):
     cells = quality.error_maps(base.scored(spark, sf_dir), base.nodes(spark, sf_dir), MAP)
-    return cells.select("map_id", "nid", "activations", F.round("distance_sum", 5).alias("distance_sum"), "misses", F.round("qe", 8).alias("qe"), F.round("te", 6).alias("te"))
+    return cells.select("map_id", "nid", "activations", F.round("distance_sum", 5).alias("distance_sum"), "misses", F.round("qe", 12).alias("qe"), F.round("te", 6).alias("te"))
 
 
 def map_quality(spark, sf_dir):
@@ -236,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "activation_map": f"""WITH {base.SQL_SCORED} SELECT c.map_id, c.nid, c.r, c.c, count(s.id) AS activations
             FROM codebook c LEFT JOIN scored s ON s.map_id = c.map_id AND s.nid = c.nid GROUP BY c.map_id, c.nid, c.r, c.c""",
         "error_maps": f"""WITH {_CELLS} SELECT c.map_id, c.nid, coalesce(n, 0)::bigint AS activations, round(coalesce((round_even(s * 1e5, 0) / 1e5), 0), 5) AS distance_sum,
-            coalesce(misses, 0)::bigint AS misses, round(coalesce((round_even(s * 1e5, 0) / 1e5) / n, 0), 8) AS qe, round(coalesce(misses::double / n, 0), 6) AS te
+            coalesce(misses, 0)::bigint AS misses, round(coalesce((round_even(s * 1e5, 0) / 1e5) / n, 0), 12) AS qe, round(coalesce(misses::double / n, 0), 6) AS te
             FROM codebook c LEFT JOIN per p ON p.map_id = c.map_id AND p.nid = c.nid""",
         "map_quality": f"""WITH {_CELLS} SELECT map_id, sum(n)::bigint AS n_samples, count(*) AS num_activations, round(sum(s) / sum(n), 5) AS mean_distance,
             round(sum((round_even(s * 1e5, 0) / 1e5)) / sum(n), 5) AS quantization_error, round(sum(misses)::double / sum(n), 6) AS topological_error FROM per GROUP BY map_id""",
