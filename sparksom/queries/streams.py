@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.bmu import bmu_by_map
+from ..operators.bmu import MAX_NODES, bmu_by_map
 from ..plans import checkpoint_dir, delete, materialize
 from ..sources import read_table
 from ..streaming import running_transitions
@@ -34,12 +35,42 @@ def _all_of(stream: DataFrame, name: str) -> DataFrame:
     return kept
 
 
-def stream_bmu(spark, sf_dir):
-    """Best nodes of a stream of deliveries, each record once: ids seen are the only state."""
+def _by_batches(stream: DataFrame, of_batch: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """``of_batch`` of every micro-batch, as a stream again, for plans that a stream itself can't
+    have. Each batch has a folder of its own under ``folder``, which it replaces if it is run again."""
+    spark = stream.sparkSession
+    schema = of_batch(spark.createDataFrame([], stream.schema)).schema
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/batches")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        of_batch(batch).write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/batches")
+
+
+def stream_bmu(spark, sf_dir, max_nodes: int = MAX_NODES):
+    """Best nodes of a stream of deliveries, each record once: ids seen are the only state.
+
+    Beyond ``max_nodes`` nodes the samples of a micro-batch meet their map's nodes by a
+    shuffle, which counts the samples first; a stream can't, so its batches are scored one by one.
+    """
     rows = _stream(spark, sf_dir, "id", "map_id", "data").where(F.col("id").isNotNull() & base.complete("data"))
     book = read_table(spark, sf_dir, "codebook", "map_id", "nid", "w")
-    scored = bmu_by_map(rows, "data", book, "map_id", "id", keep=["id", "map_id"]).dropDuplicates(["id"])
-    return _all_of(scored, "stream-bmu").withColumns({c: F.round(c, 6) for c in ("dist", "dist2")})
+    score = lambda some: bmu_by_map(some, "data", book, "map_id", "id", max_nodes=max_nodes, keep=["id", "map_id"])
+    folder = None
+    if book.count() <= max_nodes:
+        scored = score(rows)
+    else:
+        folder = f"{checkpoint_dir(spark)}/sparksom/stream-batches-{uuid.uuid4().hex}"
+        scored = _by_batches(rows, score, folder)
+    best = _all_of(scored.dropDuplicates(["id"]), "stream-bmu")
+    if folder:
+        delete(spark, folder)
+    return best.withColumns({c: F.round(c, 6) for c in ("dist", "dist2")})
 
 
 def stream_transitions(spark, sf_dir):
