@@ -161,6 +161,36 @@ def dtw_kernel(band: int | None = None) -> Kernel:
     return kernel
 
 
+def warped(x: np.ndarray, w: np.ndarray, upto: int | None = None) -> np.ndarray:
+    """Squared dtw of pairs, as the kernel has it; both have their components first ([d, ...]) and
+    their further dimensions are broadcast. Cells of one diagonal are one array, so few pairs at
+    once (some thousand, which stay in the cache) keep NumPy busy.
+
+    With ``upto`` (at most d) the least cost of a path's beginning, as far as that diagonal: a
+    path takes a cell of one of two neighbouring diagonals. The beginning of the
+    reversed signals is its end, so both together are a lower bound while they don't meet.
+    """
+    n, m = len(x), len(w)
+    last = upto or n + m
+    rows, turned = min(n, last), w[::-1]
+    shape = np.broadcast_shapes(x.shape[1:], w.shape[1:])
+    two, one, new = (np.full((rows + 1, *shape), np.inf, x.dtype) for _ in range(3))  # the diagonals before, by rows
+    cost = np.empty((rows, *shape), x.dtype)
+    two[0] = 0.0
+    for d in range(2, last + 1):
+        lo, hi = max(1, d - m), min(n, d - 1)
+        here = np.subtract(x[lo - 1:hi], turned[m - d + lo:m - d + hi + 1], out=cost[:hi - lo + 1])
+        np.multiply(here, here, out=here)
+        best = np.minimum(one[lo:hi + 1], one[lo - 1:hi], out=new[lo:hi + 1])
+        np.minimum(best, two[lo - 1:hi], out=best)
+        np.add(here, best, out=best)
+        two[0] = new[lo - 1] = np.inf
+        if hi < rows:
+            new[hi + 1] = np.inf
+        two, one, new = one, new, two
+    return one[n] if upto is None else np.minimum(one[1:upto].min(0), two[1:upto - 1].min(0))
+
+
 @dataclass(frozen=True)
 class Distance:
     """A distance as a native expression and as a kernel (samples by nodes)."""
@@ -168,6 +198,7 @@ class Distance:
     name: str
     expr: Expr
     kernel: Kernel
+    band: int | None = None
 
 
 _registry: dict[str, Distance] = {}
@@ -197,7 +228,7 @@ def get(name: str, band: int | None = None) -> Distance:
     if name not in _registry:
         raise ValueError(f"unknown distance {name!r}; available: {', '.join(_registry)}")
     if name == "dtw" and band is not None:
-        return Distance("dtw", dtw(band), dtw_kernel(band))
+        return Distance("dtw", dtw(band), dtw_kernel(band), band)
     return _registry[name]
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import distances
+from ..plans import lookup_join, materialize
 from .normalize import Normalizer
 
 #: Doubles that one block of differences may hold.
@@ -59,6 +60,8 @@ def top_two(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 #: Nodes per sample that are measured exactly after an estimate.
 CLOSEST = 4
+#: Pairs of a sample and a node whose warping is worked on at once.
+PAIRS = 4_096
 
 
 def best_two(distance: distances.Distance, x: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, tuple]]:
@@ -66,8 +69,12 @@ def best_two(distance: distances.Distance, x: np.ndarray, w: np.ndarray) -> Iter
 
     Euclidean distances are estimated by one matrix product, and exact, as the kernel has
     them, for the closest few nodes; a sample whose next node could be as close, or that
-    is not finite, is measured against all nodes. So the result is the kernel's.
+    is not finite, is measured against all nodes. So the result is the kernel's. For dtw see
+    :func:`_best_two_warped`.
     """
+    if distance.name == "dtw" and distance.band is None and len(w) > 2 * CLOSEST and x.shape[1] == w.shape[1] >= 8:
+        yield from _best_two_warped(distance, x, w)
+        return
     if distance.name != "euclidean" or len(w) <= 2 * CLOSEST:
         for at, scores in block_scores(distance.kernel, x, w):
             yield at, top_two(scores)
@@ -96,6 +103,66 @@ def best_two(distance: distances.Distance, x: np.ndarray, w: np.ndarray) -> Iter
         yield at, (one, d1, two, d2)
 
 
+def _best_two_warped(distance: distances.Distance, x: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """:func:`best_two` by dtw, which is at most the Euclidean distance.
+
+    The nodes that are closest by that one are measured exactly; the second of them bounds
+    what can be among the two best. In single precision, less what its rounding may add, the
+    beginnings and ends of the other nodes' paths, and then the whole of those that are left,
+    drop what is beyond; the rest is measured exactly. Samples that are not finite, or too
+    large for single precision, are measured against all nodes.
+    """
+    n, half, centre = x.shape[1], x.shape[1] // 2, w.mean()
+    turned, narrow = np.ascontiguousarray(w.T), np.ascontiguousarray((w - centre).T, np.float32)
+    square, reach = ((w - centre) ** 2).sum(1), np.abs(w - centre).max()
+
+    def exact(of: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        for k in range(0, len(row), PAIRS):
+            out[k:k + PAIRS] = np.sqrt(distances.warped(of[row[k:k + PAIRS]].T, turned[:, node[k:k + PAIRS]]))
+        return out
+
+    step, few_rows = max(1, BLOCK // (8 * len(w))), max(1, PAIRS // len(w))
+    for at in range(0, len(x), step):
+        block = x[at:at + step]
+        with np.errstate(invalid="ignore", over="ignore"):
+            scale = np.abs(block - centre).max(1) + reach
+        fits = scale < 1e15
+        found = [np.zeros(len(block), t) for t in (np.int64, float, np.int64, float)]
+        odd = np.flatnonzero(~fits)
+        for start, scores in block_scores(distance.kernel, block[odd], w):
+            for out, part in zip(found, top_two(scores)):
+                out[odd[start:start + len(scores)]] = part
+        use = np.flatnonzero(fits)
+        if len(use):
+            mine, scale = block[use], scale[use]
+            few = np.argpartition(square - 2.0 * ((mine - centre) @ (w - centre).T), CLOSEST - 1, axis=1)[:, :CLOSEST]
+            row, node = np.repeat(np.arange(len(mine)), CLOSEST), few.ravel()
+            known = exact(mine, row, node)
+            second = np.partition(known.reshape(-1, CLOSEST), 1, axis=1)[:, 1]
+            limit = ((second * (1 + 2.4e-7 * n) + 2.4e-7 * (2 * n) ** 0.5 * scale) ** 2).astype(np.float32)
+            short = np.ascontiguousarray((mine - centre).T, np.float32)
+            maybe = np.empty((len(mine), len(w)), bool)
+            for k in range(0, len(mine), few_rows):
+                a, b = short[:, k:k + few_rows, None], narrow[:, None, :]
+                least = distances.warped(a, b, half) + distances.warped(a[::-1], b[::-1], half)
+                maybe[k:k + few_rows] = least <= limit[k:k + few_rows, None]
+            np.put_along_axis(maybe, few, False, 1)
+            others, nodes = np.nonzero(maybe)
+            near = np.empty(len(others), bool)
+            for k in range(0, len(others), PAIRS):
+                some = others[k:k + PAIRS]
+                near[k:k + PAIRS] = distances.warped(short[:, some], narrow[:, nodes[k:k + PAIRS]]) <= limit[some]
+            others, nodes = others[near], nodes[near]
+            row, node, known = (np.concatenate(p) for p in ((row, others), (node, nodes), (known, exact(mine, others, nodes))))
+            order = np.lexsort((node, known, row))
+            first = order[np.searchsorted(row[order], np.arange(len(mine)))]
+            next_ = order[np.searchsorted(row[order], np.arange(len(mine))) + 1]
+            for out, part in zip(found, (node[first], known[first], node[next_], known[next_])):
+                out[use] = part
+        yield at, tuple(found)
+
+
 def block_scores(kernel, x: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     step = max(1, BLOCK // max(1, w.size))
     for at in range(0, len(x), step):
@@ -146,7 +213,7 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
     ``distance``), and ``normalization`` with ``centre`` and ``scale``, the map's way to
     normalise samples, which its weights go through as well (null: none). ``keep`` are the samples' columns that go on, all of them by default. Up to ``max_nodes`` nodes travel to the tasks as arrays
     and no sample is shuffled; beyond, samples meet their map's nodes in groups of
-    (map, salt), as many salts as the largest map needs to stay near ``GROUP_ROWS``.
+    (map, salt), as many salts as a map needs to stay near ``GROUP_ROWS``.
     Samples must be complete and finite; samples of unknown maps are left out.
     """
     keep = samples.columns if keep is None else keep
@@ -202,10 +269,13 @@ def bmu_by_map(samples: DataFrame, features: str, codebook: DataFrame, by: str,
 
         return samples.mapInArrow(run, schema)
 
-    most = samples.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    salts = max(1, -(-most // GROUP_ROWS))
-    spread = samples.withColumn("__salt", F.pmod(F.xxhash64(item), F.lit(salts)))
-    repeated = nodes.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    salts = F.ceil(F.col("count") / F.lit(GROUP_ROWS)).cast("int").alias("__salts")
+    many = materialize(samples.groupBy(by).count().where(F.col("count") > GROUP_ROWS).select(by, salts), "map-salts")
+    of_map = F.coalesce("__salts", F.lit(1))
+    spread = lookup_join(samples, many, [by], "left", salt_by=item)
+    spread = spread.withColumn("__salt", F.pmod(F.xxhash64(item), of_map).cast("int")).drop("__salts")
+    repeated = lookup_join(nodes, many, [by], "left", salt_by="nid")
+    repeated = repeated.withColumn("__salt", F.explode(F.sequence(F.lit(0), of_map - 1))).drop("__salts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = zip(*(right[c].to_pylist() for c in columns))

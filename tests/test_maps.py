@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparksom.functions import distances
 from sparksom.functions.features import FeatureExtractor, sample_entropies, sample_entropy
-from sparksom.operators import quality, temporal, views
+from sparksom.operators import bmu, quality, temporal, views
 from sparksom.operators.bmu import best_two, bmu_arrow, bmu_by_map, bmu_native, top_two
 from sparksom.operators.node_stats import heavy_keys, key_stats
 from sparksom.operators.sequences import with_previous
@@ -230,6 +230,43 @@ def test_best_two_is_the_kernels():
         assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want))
 
 
+def test_best_two_by_dtw_is_the_kernels():
+    """Pruned by bounds: the same nodes and distances to the last bit; the kernel, against all
+    nodes, is for samples that are not finite or huge only."""
+    rng = np.random.default_rng(13)
+    dtw = distances.get("dtw")
+
+    def no_kernel(x, w):
+        assert not len(x) or (~np.isfinite(x) | (np.abs(x) > 1e14)).any(axis=1).all()
+        return dtw.kernel(x, w)
+
+    for scale, shift, dims in ((1.0, 0.0, 16), (1e-3, 1e4, 16), (1e6, -3.0, 16), (1e-30, 0.0, 16), (1.0, 0.0, 33), (3.0, 0.5, 8)):
+        w = rng.normal(size=(60, dims)) * scale + shift
+        w[17], w[40:45] = w[3], w[30]
+        x = np.concatenate([rng.normal(size=(300, dims)) * scale + shift, w, w[:20] + 1e-9, rng.normal(size=(5, dims)) * 1e16, (w[:10] + w[10:20]) / 2])
+        x[5, 3], x[6, 0] = np.nan, np.inf
+        for points, nodes in ((x, w), (np.round(x[:300] / scale), np.round(w / scale))):
+            with np.errstate(invalid="ignore"):
+                want = top_two(dtw.kernel(points, nodes))
+                found = best_two(distances.Distance("dtw", dtw.expr, no_kernel), points, nodes)
+                got = [np.concatenate(parts) for parts in zip(*(best for _, best in found))]
+            assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(got, want))
+    band = distances.get("dtw", 1)
+    (_, got), = best_two(band, x[10:20], w)
+    assert all(np.array_equal(a, b) for a, b in zip(got, top_two(band.kernel(x[10:20], w))))
+
+
+def test_salts_by_map(spark, monkeypatch):
+    """Maps of many and of few samples, in groups of some ten: each meets its nodes once."""
+    rng = np.random.default_rng(15)
+    monkeypatch.setattr(bmu, "GROUP_ROWS", 10)
+    of = [0] * 47 + [1] * 3 + [2] * 10 + [None] * 2 + [9]
+    samples = spark.createDataFrame([(i, m, rng.normal(size=16).tolist()) for i, m in enumerate(of)], "id long, map_id long, x array<double>")
+    nodes = spark.createDataFrame([(m, n, rng.normal(size=16).tolist()) for m in range(4) for n in range(11)], "map_id long, nid int, w array<double>")
+    one, other = (sorted(tuple(r) for r in bmu_by_map(samples, "x", nodes, "map_id", "id", "dtw", max_nodes=most, keep=["id", "map_id"]).collect()) for most in (100, 0))
+    assert len(one) == 60 and one == other
+
+
 def test_own_normalizations(spark):
     rng = np.random.default_rng(14)
     ways = {1: ("zscore", [1.0] * 5, [2.0, 4.0, 0.5, 1.0, 3.0]), 2: ("robust_sample", None, None), 3: (None, None, None)}
